@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if not getattr(context, "_lorekeep_shipped", False):
+        top = Path(__file__).resolve().parents[2]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lorekeep-')}/lorekeep_package", "zip", top, "lorekeep")
+        context.addPyFile(archive)
+        context._lorekeep_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder, which release() removes."""
     path = f"{shared_dir(spark)}/lorekeep/{label}-{uuid.uuid4().hex}"
