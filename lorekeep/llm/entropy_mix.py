@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import drop, global_rank, materialize, words_of
+from lorekeep.llm.shared import drop, fixed, global_rank, materialize, words_of
 
 #: Bins a source at each pass over the rounding order, and passes: the order is resolved to their power.
 BINS, PASSES = 1024, 3
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     """
     results = ["size", "source_size", "target", "rate", "copies", "taken"]
     kept = [c for c in docs.columns if c not in results]
-    sized = docs.select(*kept).withColumn("size", F.size(words_of(F.col("text"))).cast("long"))
+    sized = docs.select(*kept).withColumn("size", fixed(F.size(words_of(F.col("text"))).cast("long")))
     sizes = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     aims = multipliers(sizes, targets(sizes, weights, float(most)), float(most), rounds, close)
     aims = aims.select(F.col("source").alias("_src"), "source_size", "_mean", "target", "_tilt")

@@ -48,7 +48,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     base = base.withColumn("_lines", lines)
     return base.select(
         *docs.columns,
-        F.size("_words").cast("long").alias("n_words"),
+        fixed(F.size("_words").cast("long")).alias("n_words"),
         F.expr("aggregate(_words, 0L, (a, w) -> a + char_length(w))").alias("word_chars"),
         F.char_length(F.regexp_replace(text, SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),

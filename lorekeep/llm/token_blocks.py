@@ -13,6 +13,7 @@ Spark's text writer stores the frames, so files are committed whole, on any file
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -45,6 +46,7 @@ class PieceEncoder:
     """Ids of whole texts, as little-endian bytes. Pieces are merged each for itself, so known ones are looked up."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has its own tasks
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         # Whatever stands outside the plain rules (added tokens) is left to the tokenizer.
