@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import ascii_lower, fixed, materialize
+from lorekeep.llm.shared import ascii_lower, fixed, materialize, partitions_for
 
 #: What separates words: ASCII other than digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,10 +106,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10) -> Data
     """
     results = ["n_words", "n_hit", "n_items", "items", "contaminated"]
     kept = [c for c in docs.columns if c not in results]
-    cut = materialize(windows(items, width), "windows")
+    cut = windows(items, width)
     # A row's own number keeps repeated rows apart; it holds within this one reading of the table.
     worded = docs.select("text").where("text IS NOT NULL").select(fixed(item_words(F.col("text"))).alias("_w"))
-    rare = materialize(prefixes(worded, cut), "prefixes")
+    # One row a window: far fewer than the corpus has, so few files.
+    rare = materialize(prefixes(worded, cut).coalesce(max(1, partitions_for(docs.sparkSession) // 16)), "prefixes")
     own = docs.select(*kept).withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", fixed(item_words(F.col("text")))).withColumn("n_words", F.size("_w").cast("long")).withColumn("_reach", F.lit(width))
     slim = [c for c in own.columns if c != "text"]
     found = occurrences(own.select(*slim), rare)
