@@ -126,80 +126,125 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None
     sized = large.agg(F.avg("size")).first()[0] or 0
     marked = keyed.join(last, "digest", "left").withColumn("refers", F.when(F.col("kept.number") != F.col("number"), F.col("kept")))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for number, page, url, payload, refers in zip(*(batch.column(c) for c in ("number", "page_id", "url", "payload", "refers")), strict=True):
                 to = refers.as_py()
                 found = record_segments(number.as_py(), page.as_py(), url.as_py(), payload.as_py(), (to["number"], to["page_id"]) if to else None)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], ["value"])
+                for record in found:
+                    yield (record,)
 
-    out = marked.select("number", "page_id", "url", "payload", "refers").mapInArrow(write, "value binary").select(F.col("value").cast("string"))
+    def write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(write(batches), {"value": pa.binary()})
+
+    out = marked.select("number", "page_id", "url", "payload", "refers").mapInArrow(write_batches, "value binary").select(F.col("value").cast("string"))
     per_file = max(1, int(FILE / max(min(sized, SEGMENT), 512)))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def read_segments(spark: SparkSession, path: str, split: bool) -> DataFrame:
-    """(origin, segment, total, type, page_id, url, digest, refers_to, refers_page, block) of the records under path.
+FIELDS = {"origin": pa.string(), "type": pa.string(), "page_id": pa.int64(), "url": pa.string(), "digest": pa.string(), "refers_to": pa.string(), "refers_page": pa.int64()}
+SCHEMA = "origin string, type string, page_id long, url string, digest string, refers_to string, refers_page long"
 
-    split: those that are segments of a larger one; else those in one piece.
-    """
-    ship(spark)
-    schema = "origin string, segment int, total long, type string, page_id long, url string, digest string, refers_to string, refers_page long, block binary"
+
+def _fields(f: dict[str, str]) -> tuple:
+    number = lambda x: int(x) if x else None
+    return (f.get("warc-segment-origin-id", f["warc-record-id"]), f["warc-type"], number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")))
+
+
+def payload_of(kind: str, digest: str | None, block: bytes) -> bytes | None:
+    """A response's payload, without transfer framing and checked; None for other records."""
+    if kind != "response":
+        return None
+    head, _, body = block.partition(b"\r\n\r\n")
+    payload = unframed(body) if b"transfer-encoding: chunked" in head.lower() else body
+    if f"sha1:{base32(hashlib.sha1(payload).digest())}" != digest:
+        raise ValueError("a payload does not have its digest")
+    return payload
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+
+
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Rows, whose last value is bytes, in batches of about `most` bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 200
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+def whole_records(spark: SparkSession, path: str) -> DataFrame:
+    """(…, payload) of the records in one piece."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.partition(" ")[0] for f in schema.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        number = lambda x: int(x) if x else None
-        for batch in batches:
-            for content in batch.column("content"):
-                rows, size = [], 0
-                for f, block in records(content.as_buffer().to_pybytes()):
-                    if ("warc-segment-number" in f) != split:
-                        continue
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 1)), number(f.get("warc-segment-total-length")), f["warc-type"], number(f.get("x-page-id")), f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), number(f.get("x-refers-to-page-id")), block))
-                    size += len(block)
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
-    return files.mapInArrow(read, schema)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for content in batch.column("content"):
+                    for f, block in records(content.as_buffer().to_pybytes()):
+                        if "warc-segment-number" not in f:
+                            fields = _fields(f)
+                            yield *fields, payload_of(fields[1], fields[4], block)
 
+        yield from _batches(rows(), FIELDS | {"payload": pa.binary()})
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, type, page_id, url, digest, refers_to, refers_page, payload): records in one piece, segments joined.
+    return _files(spark, path).mapInArrow(read, f"{SCHEMA}, payload binary")
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """(…, segment, total, block) of the records that are segments of a larger one."""
 
-    Whole records pass straight through, without a shuffle. Segments meet by origin, are ordered by number and
-    checked: numbers run from 1, lengths add up to the total, and the payload has its digest; else the job
-    fails. The archives are read twice for this.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for content in batch.column("content"):
+                    for f, block in records(content.as_buffer().to_pybytes()):
+                        if "warc-segment-number" in f:
+                            total = f.get("warc-segment-total-length")
+                            yield *_fields(f), int(f["warc-segment-number"]), int(total) if total else None, block
+
+        yield from _batches(rows(), FIELDS | {"segment": pa.int32(), "total": pa.int64(), "block": pa.binary()})
+
+    return _files(spark, path).mapInArrow(read, f"{SCHEMA}, segment int, total long, block binary")
+
+
+def reassembled(parts: DataFrame) -> DataFrame:
+    """(…, payload) of segments, joined by origin in the order of their numbers.
+
+    Numbers must run from 1 without gaps and lengths add up to the total; else the job fails.
     """
-    whole = read_segments(spark, path, False)
-    whole = whole.select("origin", "total", F.array(F.struct("segment", "block")).alias("parts"), "type", "page_id", "url", "digest", "refers_to", "refers_page")
-    parts = read_segments(spark, path, True).groupBy("origin").agg(
-        F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        *[F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in ("type", "page_id", "url", "digest", "refers_to", "refers_page")],
-    )
+    first = [F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in list(FIELDS)[1:]]
+    # A record's segments are no more than its payload, which has to be in one row anyway.
+    joined = parts.groupBy("origin").agg(*first, F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for total, pieces, kind, digest in zip(*(batch.column(c) for c in ("total", "parts", "type", "digest")), strict=True):
-                listed = pieces.as_py()
-                block = b"".join(p["block"] for p in listed)
-                if [p["segment"] for p in listed] != list(range(1, len(listed) + 1)) or (total.is_valid or len(listed) > 1) and total.as_py() != len(block):
-                    raise ValueError("a segment is missing or stands twice")
-                head, _, body = block.partition(b"\r\n\r\n")
-                payload = None
-                if kind.as_py() == "response":
-                    payload = unframed(body) if b"transfer-encoding: chunked" in head.lower() else body
-                    if f"sha1:{base32(hashlib.sha1(payload).digest())}" != digest.as_py():
-                        raise ValueError("a payload does not have its digest")
-                found.append(payload)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("origin", "type", "page_id", "url", "digest", "refers_to", "refers_page")), pa.array(found, pa.binary())], ["origin", "type", "page_id", "url", "digest", "refers_to", "refers_page", "payload"])
-
-    return whole.unionByName(parts).mapInArrow(join, "origin string, type string, page_id long, url string, digest string, refers_to string, refers_page long, payload binary")
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for *fields, total, pieces in zip(*(batch.column(c) for c in (*FIELDS, "total", "parts")), strict=True):
+                    listed = pieces.as_py()
+                    block = b"".join(p["block"] for p in listed)
+                    if [p["segment"] for p in listed] != list(range(1, len(listed) + 1)) or total.as_py() != len(block):
+                        raise ValueError("a segment is missing or stands twice")
+                    found = [x.as_py() for x in fields]
+                    yield *found, payload_of(found[1], found[4], block)
+
+        yield from _batches(rows(), FIELDS | {"payload": pa.binary()})
+
+    return joined.mapInArrow(join, f"{SCHEMA}, payload binary")
+
+
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, type, page_id, url, digest, refers_to, refers_page, payload) of every record under path.
+
+    Records in one piece are not shuffled; the archives are read a second time for segments.
+    """
+    ship(spark)
+    return whole_records(spark, path).unionByName(reassembled(segments(spark, path)))
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
