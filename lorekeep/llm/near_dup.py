@@ -1,9 +1,11 @@
 """Near-duplicates by MinHash bands, odd sketches and an exact check.
 
-A document's shingles are hashed to 64 bits and sampled by MinHash. Samples in bands give candidates; all of
-them folded into a parity bitmap (an odd sketch: each sample flips one bit) give a second, sharper test,
-for the population count of two bitmaps' XOR estimates a high similarity closely. What passes is compared
-on full sets. Documents with one set are one node, and links are joined to components.
+A document's shingles are hashed to 64 bits and sampled by MinHash: least values of several hash functions, in
+bands, give candidates. The least values of one hash function (a bottom-k MinHash sample) are folded into a
+parity bitmap (an odd sketch: each sample flips one bit), and the population count of two bitmaps' XOR
+estimates a high similarity closely: it never exceeds the samples in which two documents differ, so that with
+all shingles in the sample no link can fail the test, and beyond that a margin is added. What passes is
+compared on full sets. Documents with one set are one node, and links are joined to components.
 
 Every bucket is first a star around its least node: pairs grow with its members. After these links are
 joined, only members of different components of a bucket still need a comparison; they are held against each
@@ -25,10 +27,8 @@ from lorekeep.llm.shared import components, drop, materialize, ship
 #: Bands and samples a band: a pair at a similarity of 0.8 is missed with a probability of 5e-8.
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Bits of a sketch.
-BITS = 512
-#: How far below the threshold an estimate may lie: six standard deviations.
-MARGIN = 0.3
+#: Samples of a sketch, its bits, and the standard deviations by which a sample may mislead.
+KEPT, BITS, SIGMAS = 1024, 1024, 6
 #: Members of a bucket that are compared at once.
 BLOCK = 64
 #: Shingles that are sampled at once, and words remembered.
@@ -79,9 +79,9 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """The odd sketch: bit h(i, sample i) is flipped for every i."""
-    bits = (_mix(least * SHIFT + SCALE) % np.uint64(BITS)).astype(np.int64)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of the KEPT least hashes: each flips the bit that its low bits name."""
+    bits = (shingles[:KEPT] % np.uint64(BITS)).astype(np.int64)
     return np.packbits((np.bincount(bits, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -89,9 +89,28 @@ def buckets(least: np.ndarray) -> np.ndarray:
     return _mix((least.reshape(BANDS, ROWS) * BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def most_bits(similarity: float) -> int:
-    """The most bits in which two sketches differ, on average, at a similarity."""
-    return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / BITS)))
+def most_bits(n_a, n_b, percent: int, maths):  # noqa: ANN001, ANN201
+    """The most bits in which sketches of linked sets of n_a and n_b shingles differ; for columns or for arrays, by maths.
+
+    Of the shared shingles, at least percent / (100 + percent) of both sizes, those below the larger set's
+    last sample are in both samples. Which they are is chance only where the larger set has more than KEPT.
+    """
+    large = maths.greatest(n_a, n_b)
+    kept = maths.least(large, maths.lit(KEPT))
+    share = maths.least((n_a + n_b) * (percent / (100 + percent)) / large, maths.lit(1.0))
+    sampled = maths.least(maths.greatest(large - KEPT, maths.lit(0)), maths.lit(1))
+    chance = sampled * (2 * SIGMAS) * maths.sqrt(kept * share * (1 - share) + 1)
+    return maths.least(n_a, maths.lit(KEPT)) + maths.least(n_b, maths.lit(KEPT)) - kept * share * 2 + chance + 1e-6
+
+
+class Arrays:
+    """The functions of most_bits, for arrays."""
+
+    least, greatest, sqrt = np.minimum, np.maximum, np.sqrt
+
+    @staticmethod
+    def lit(x: float) -> float:
+        return x
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -106,7 +125,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                 if len(found):
                     least = samples(found)
-                    drawn.append(sketch(least))
+                    drawn.append(sketch(found))
                     keys.append(buckets(least))
                 ends.append(len(keys))
             pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
@@ -124,7 +143,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     bits = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (bits <= most_bits(percent / 100 - MARGIN))).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (bits <= most_bits(F.col("n_a"), F.col("n_b"), percent, F))).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -164,7 +183,6 @@ def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     ends = held.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "m", "block")
     first = ends.where("block = i").select("key", "i", "j", F.col("m").alias("x"))
     second = ends.where("block = j").select("key", "i", "j", F.col("m").alias("y"))
-    most, share = most_bits(percent / 100 - MARGIN), percent / 100
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(cell: pa.StructArray) -> tuple[np.ndarray, ...]:
@@ -176,8 +194,9 @@ def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 (a, ra, na, sa), (b, rb, nb, sb) = parts(x.values), parts(y.values)
                 differ = np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(axis=2, dtype=np.int32)
-                low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-                i, j = np.nonzero((ra[:, None] != rb[None, :]) & (differ <= most) & (low >= share * high * (1 - 1e-12)))
+                na, nb = na[:, None].astype(np.float64), nb[None, :].astype(np.float64)
+                fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+                i, j = np.nonzero((ra[:, None] != rb[None, :]) & fits & (differ <= most_bits(na, nb, percent, Arrays)))
                 out.append(np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])], axis=1))
             every = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
