@@ -1 +1,3 @@
 """Document retrieval and corpus processing on Spark."""
+
+__version__ = "0.1.0"
