@@ -64,7 +64,7 @@ def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     parts = []
     for k in sorted(sizes):
         at = f"CASE WHEN size(_w) < {k} THEN array() ELSE sequence(0, size(_w) - {k}) END"
-        test = f"{hashed('_w', 'i', k)} IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'long(-9223372036854775808)' for h in by_k[k])})" if inline else "true"
+        test = f"{hashed('_w', 'i', k)} IN ({', '.join(f'{h}L' if h > -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for h in by_k[k])})" if inline else "true"
         parts.append(f"transform(filter({at}, i -> {test}), i -> struct(i AS at, {hashed('_w', 'i', k)} AS hash, {k} AS k))")
     found = F.expr(f"concat({', '.join(parts)})") if parts else F.expr("CAST(array() AS array<struct<at:int,hash:bigint,k:int>>)")
     return docs.withColumn("_found", fixed(found))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, entropy_mix, hilbert_shards, line_frequency, line_windows, near_dup, secret_spans, style_tree, token_blocks, warc
+from lorekeep.llm import decontaminate, entropy_mix, hilbert_shards, line_frequency, line_windows, near_dup, oracles, secret_spans, style_tree, token_blocks, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_near_dedup": oracles.NEAR_DEDUP,
+    "op4_warc": oracles.WARC,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op7_quality_rules": oracles.QUALITY,
+    "op9_line_dedup": oracles.LINE_DEDUP,
+}
