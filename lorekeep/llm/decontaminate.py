@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import ascii_lower, fixed, materialize, partitions_for
+from lorekeep.llm.shared import ascii_lower, fixed, materialize, others, partitions_for
 
 #: What separates words: ASCII other than digits and letters.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,11 +26,11 @@ def item_words(text: Column) -> Column:
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
-    """(window, _k, _last, _item_): distinct windows as arrays of words, with the shingle size for each."""
+    """(_window, _k, _last, _item_): distinct windows as arrays of words, with the shingle size for each."""
     words = items.select(F.col("item_id"), fixed(item_words(F.col("text"))).alias("_w")).where("size(_w) > 0")
     starts = F.expr(f"sequence(0, greatest(size(_w) - {width}, 0))")
-    cut = words.select("item_id", "_w", F.explode(starts).alias("_s")).select("item_id", F.expr(f"slice(_w, _s + 1, {width})").alias("window"))
-    return cut.distinct().withColumn("_k", F.least(F.lit(SHINGLE), F.size("window")))
+    cut = words.select("item_id", "_w", F.explode(starts).alias("_s")).select("item_id", F.expr(f"slice(_w, _s + 1, {width})").alias("_window"))
+    return cut.distinct().withColumn("_k", F.least(F.lit(SHINGLE), F.size("_window")))
 
 
 def hashed(words: str, at: str, k: int) -> str:
@@ -39,10 +39,10 @@ def hashed(words: str, at: str, k: int) -> str:
 
 
 def shingles(cut: DataFrame) -> DataFrame:
-    """(window, _k, _at, _hash): every shingle of every distinct window."""
-    whole = cut.select("window", "_k").distinct()
+    """(_window, _k, _at, _hash): every shingle of every distinct window."""
+    whole = cut.select("_window", "_k").distinct()
     parts = [
-        whole.where(F.col("_k") == k).withColumn("_at", F.explode(F.expr(f"sequence(0, size(window) - {k})"))).withColumn("_hash", F.expr(hashed("window", "_at", k)))
+        whole.where(F.col("_k") == k).withColumn("_at", F.explode(F.expr(f"sequence(0, size(_window) - {k})"))).withColumn("_hash", F.expr(hashed("_window", "_at", k)))
         for k in range(1, SHINGLE + 1)
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -71,26 +71,26 @@ def places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(window, _k, _at, _hash): the rarest shingle of each window over all documents; ties by hash and place."""
+    """(_window, _k, _at, _hash): the rarest shingle of each window over all documents; ties by hash and place."""
     every = shingles(cut)
     counts = places(docs, every).select(F.explode("_found").alias("f")).groupBy(F.col("f.k").alias("_k"), F.col("f.hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_times"))
     ranked = every.join(counts, ["_k", "_hash"], "left")
     # A window has at most as many rows here as words.
-    first = Window.partitionBy("window").orderBy(F.coalesce("_times", F.lit(0)), "_hash", "_at")
-    return ranked.withColumn("_r", F.row_number().over(first)).where("_r = 1 AND _times IS NOT NULL").select("window", "_k", "_at", "_hash")
+    first = Window.partitionBy("_window").orderBy(F.coalesce("_times", F.lit(0)), "_hash", "_at")
+    return ranked.withColumn("_r", F.row_number().over(first)).where("_r = 1 AND _times IS NOT NULL").select("_window", "_k", "_at", "_hash")
 
 
 def occurrences(docs: DataFrame, rare: DataFrame) -> DataFrame:
-    """docs' columns but _w, with `window` and `_start` for each place where it lies; null where none does."""
+    """docs' columns but _w, with `_window` and `_start` for each place where it lies; null where none does."""
     keep = [c for c in docs.columns if c != "_w"]
     # A candidate's words travel along; text around other places does not.
     seen = places(docs, rare).select(*keep, "_w", F.explode_outer(F.expr("CASE WHEN size(_found) = 0 THEN NULL ELSE _found END")).alias("_f"))
     near = seen.select(*keep, F.col("_f.k").alias("_k"), F.col("_f.hash").alias("_hash"), F.col("_f.at").alias("_place"), F.expr("size(_w)").alias("_size"), F.expr("CASE WHEN _f IS NULL THEN NULL ELSE slice(_w, greatest(_f.at - _reach, 0) + 1, 2 * _reach + _f.k) END").alias("_near"))
     hit = near.join(rare.withColumnsRenamed({"_k": "_pk", "_hash": "_ph"}), (F.col("_k") == F.col("_pk")) & (F.col("_hash") == F.col("_ph")), "left")
     start = F.col("_place") - F.col("_at")
-    lies = (start >= 0) & (start + F.size("window") <= F.col("_size"))
-    same = F.expr("slice(_near, _place - _at - greatest(_place - _reach, 0) + 1, size(window)) = window")
-    return hit.withColumn("_start", F.when(lies, F.when(same, start))).withColumn("window", F.when(F.col("_start").isNotNull(), F.col("window"))).drop("_k", "_hash", "_pk", "_ph", "_place", "_at", "_near", "_size")
+    lies = (start >= 0) & (start + F.size("_window") <= F.col("_size"))
+    same = F.expr("slice(_near, _place - _at - greatest(_place - _reach, 0) + 1, size(_window)) = _window")
+    return hit.withColumn("_start", F.when(lies, F.when(same, start))).withColumn("_window", F.when(F.col("_start").isNotNull(), F.col("_window"))).drop("_k", "_hash", "_pk", "_ph", "_place", "_at", "_near", "_size")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFrame:
@@ -101,11 +101,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10) -> Data
 
     Nulls: null texts have no words; a null item_id is left out of `items` and n_items but its words count.
     Repeated rows of documents are each returned; repeated items count once. Without items every document is
-    clean; without documents the result is empty. Other columns stay; a column named like a result is
-    replaced.
+    clean; without documents the result is empty. Other columns but the text stay; columns named like
+    a result or with an underscore in front are left out.
     """
     results = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    kept = [c for c in docs.columns if c not in results]
+    docs = others(docs, results)
+    kept = docs.columns
     cut = windows(items, width)
     # A row's own number keeps repeated rows apart; it holds within this one reading of the table.
     worded = docs.select("text").where("text IS NOT NULL").select(fixed(item_words(F.col("text"))).alias("_w"))
@@ -114,10 +115,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, width: int = 10) -> Data
     own = docs.select(*kept).withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", fixed(item_words(F.col("text")))).withColumn("n_words", F.size("_w").cast("long")).withColumn("_reach", F.lit(width))
     slim = [c for c in own.columns if c != "text"]
     found = occurrences(own.select(*slim), rare)
-    listed = cut.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("_ids"))
-    found = found.join(listed.withColumnRenamed("window", "_win"), F.col("window") == F.col("_win"), "left")
+    listed = cut.groupBy("_window").agg(F.collect_set(F.col("item_id").cast("string")).alias("_ids"))
+    found = found.join(listed.withColumnRenamed("_window", "_win"), F.col("_window") == F.col("_win"), "left")
     # One row a document: its rows are at most its words times the items that share a window.
-    marks = F.collect_set(F.when(F.col("_start").isNotNull(), F.struct("_start", (F.col("_start") + F.size("window")).alias("_end"))))
+    marks = F.collect_set(F.when(F.col("_start").isNotNull(), F.struct("_start", (F.col("_start") + F.size("_window")).alias("_end"))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col("_ids")))))
     by_row = found.groupBy("_row").agg(*[F.first(c).alias(c) for c in slim if c not in ("_row", "_w", "_reach")], F.array_sort(marks).alias("_marks"), ids.alias("items"))
     covered = F.expr("aggregate(_marks, struct(0 AS upto, 0L AS n), (a, m) -> struct(greatest(a.upto, m._end) AS upto, a.n + greatest(0, m._end - greatest(a.upto, m._start)) AS n), a -> a.n)")

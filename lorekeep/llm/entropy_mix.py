@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import drop, fixed, global_rank, materialize, words_of
+from lorekeep.llm.shared import drop, fixed, global_rank, materialize, others, words_of
 
 #: Bins a source at each pass over the rounding order, and passes: the order is resolved to their power.
 BINS, PASSES = 1024, 3
@@ -26,7 +26,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
     """(source, source_size, _mean, target): shares of the whole by weight, none above `most` times its source."""
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("_docs"))
     ranked, _ = global_rank(sources, [F.col("source").asc_nulls_last()], "sources")
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_rank") % len(weights) + 1).cast("int"))
     ranked = ranked.select("source", "source_size", F.greatest(F.col("source_size") / F.col("_docs"), F.lit(1e-3)).alias("_mean"), weight.alias("_weight"), (most * F.col("source_size")).alias("_cap"))
     ranked = materialize(ranked, "weighted")
     total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
@@ -115,10 +115,12 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     for each source so that the words taken come as near to the target as whole documents allow.
 
     Nulls: a null text has no words; null sources form one source. Repeated rows are taken like each other.
-    Empty table: empty result. Other columns stay; a column named like a result is replaced.
+    Empty table: empty result. Other columns stay; those named like a result or with an
+    underscore in front are left out.
     """
     results = ["size", "source_size", "target", "rate", "copies", "taken"]
-    kept = [c for c in docs.columns if c not in results]
+    docs = others(docs, results)
+    kept = docs.columns
     sized = docs.select(*kept).withColumn("size", fixed(F.size(words_of(F.col("text"))).cast("long")))
     sizes = materialize(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     aims = multipliers(sizes, targets(sizes, weights, float(most)), float(most), rounds, close)

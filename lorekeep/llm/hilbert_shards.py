@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import global_rank
+from lorekeep.llm.shared import global_rank, others
 
 
 def _rotl(x: int, k: int, n: int) -> int:
@@ -58,7 +58,7 @@ def value_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
     """(_value, _cell): the distinct values of a column in order, null first, cut into 2^bits equal runs."""
     values = docs.select(F.col(column).alias("_value")).distinct()
     ranked, n = global_rank(values, [F.col("_value").asc_nulls_first()], "values")
-    return ranked.select("_value", (F.col("rank") * (1 << bits) / F.lit(max(n, 1))).cast("int").alias("_cell"))
+    return ranked.select("_value", (F.col("_rank") * (1 << bits) / F.lit(max(n, 1))).cast("int").alias("_cell"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 8, *, by: tuple[str, ...] = ("source", "lang"), bits: int = 6, carry: bool = True) -> DataFrame:
@@ -71,9 +71,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, *, by: tuple[str, ...] = ("
     which then is not sorted along.
 
     Nulls: a null text counts as empty; null metadata and doc_ids sort first. Empty table: empty result. Other
-    columns stay; a column named like a result is replaced.
+    columns stay; those named like a result or with an underscore in front are left out.
     """
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    docs = others(docs, ["size", "text_crc32", "law", "shard", "slot", "grown_shard"])
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = docs.withColumns({"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))})
     if not carry:
@@ -90,10 +90,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, *, by: tuple[str, ...] = ("
     ranked, n = global_rank(placed, [F.col("_place"), F.col("size"), F.col("text_crc32"), F.col("doc_id").asc_nulls_first(), F.xxhash64(*kept)], "curve")
     base, more = divmod(n, shards)
     longer = more * (base + 1)
-    shard = F.when(F.col("rank") < longer, F.expr(f"rank div {base + 1}")).otherwise(F.expr(f"{more} + (rank - {longer}) div {max(base, 1)}"))
+    shard = F.when(F.col("_rank") < longer, F.expr(f"_rank div {base + 1}")).otherwise(F.expr(f"{more} + (_rank - {longer}) div {max(base, 1)}"))
     start = F.col("shard") * base + F.least(F.col("shard"), F.lit(more))
     return (
         ranked.withColumn("law", F.lit("rows")).withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("rank") - start).withColumn("grown_shard", F.lit(None).cast("int"))
+        .withColumn("slot", F.col("_rank") - start).withColumn("grown_shard", F.lit(None).cast("int"))
         .select(*kept, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import fixed, words_of
+from lorekeep.llm.shared import fixed, others, words_of
 
 #: What is not a symbol.
 SYMBOLS = "[^#*$%&|<>]+"
@@ -87,10 +87,11 @@ def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_lin
 
     Nulls: a null text has no words and fails the base rules; null sources form one host; rows with a null
     doc_id are judged each by its text. Repeated rows are each returned, with equal verdicts. Empty table:
-    empty result. Other columns stay; a column named like a result is replaced.
+    empty result. Other columns stay; those named like a result or with an
+    underscore in front are left out.
     """
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    docs = docs.drop(*results)
+    docs = others(docs, results)
     lines = document_lines(docs)
     hosts = docs.groupBy(F.col("source").alias("_source")).agg(F.count_distinct(F.xxhash64("text")).alias("_all"))
     common = boilerplate(lines.where(F.col("_n") <= max_line_words), hosts, min_docs, share)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import fixed, materialize
+from lorekeep.llm.shared import fixed, materialize, others
 
 WIDTH = 3
 
@@ -39,11 +39,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     its lines. A line is so removed only if an earlier place holds it. Windows are told apart by 128 bits.
 
     Nulls: a null text stays null; a null doc_id comes before all others. Rows with equal doc_id and text are
-    the same place and share their fate. Empty table: empty result. Other columns stay; a column named like a
-    result is replaced.
+    the same place and share their fate. Empty table: empty result. Other columns stay; those named like a result
+    or with an underscore in front are left out.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "text_before_chars")]
-    docs = docs.select(*kept)
+    docs = others(docs, ("n_lines", "n_removed", "text_before_chars"))
+    kept = docs.columns
     found = materialize(document_windows(docs), "windows")
     first = found.groupBy("_h1", "_h2").agg(F.min(F.struct("doc_id", "_at", "_key")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
     later = found.join(first, ["_h1", "_h2"]).where(~F.struct("doc_id", "_at", "_key").eqNullSafe(F.col("_first")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,6 +69,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def others(docs: DataFrame, results: Sequence[str]) -> DataFrame:
+    """docs without columns that are named like results or, as the operators' own are, start with an underscore."""
+    taken = {r.lower() for r in results}
+    return docs.select(*[c for c in docs.columns if c.lower() not in taken and not c.startswith("_")])
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs without white space; null text: an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
@@ -89,7 +96,7 @@ def partitions_for(spark: SparkSession) -> int:
 
 
 def global_rank(df: DataFrame, order: list[Column], label: str, weight: str | None = None) -> tuple[DataFrame, int]:
-    """df with `rank`, its row's place from 0 in the order given, and the number of rows.
+    """df with `_rank`, its row's place from 0 in the order given, and the number of rows.
 
     Rows are range-partitioned and sorted, written with their place in the partition, and shifted by what
     lies in the partitions before: no task sees more than its range, and only one row a partition is summed
@@ -108,7 +115,7 @@ def global_rank(df: DataFrame, order: list[Column], label: str, weight: str | No
     offsets = spark.createDataFrame(ahead or [(0, 0, 0)], "_part long, _rows long, _heavy long")
     # As many rows as the range sort has partitions.
     ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    ranked = ranked.withColumn("rank", F.col("_rows") + row)
+    ranked = ranked.withColumn("_rank", F.col("_rows") + row)
     return ranked.drop("_part", "_rows", "_heavy", "_at"), rows
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import materialize, scratch_path, ship
+from lorekeep.llm.shared import drop, materialize, scratch_path, ship
 
 #: Bytes of a record's block in one segment, of a transfer chunk, and of archive files on average.
 SEGMENT, CHUNK, FILE = 1 << 18, 1 << 14, 1 << 26
@@ -118,9 +118,9 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None
     """
     spark = pages.sparkSession
     ship(spark)
-    # The row's number is that of its place in the files read, so both uses below see the same one.
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("number", F.monotonically_increasing_id())
-    keyed = rows.withColumn("digest", F.sha1("payload"))
+    # Stored, so that both uses below see one number for a row, whatever the order in which pages come.
+    keyed = materialize(rows.withColumn("digest", F.sha1("payload")), "numbered")
     large = keyed.select("page_id", "number", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
     last = large.groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
     sized = large.agg(F.avg("size")).first()[0] or 0
@@ -140,6 +140,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None
     out = marked.select("number", "page_id", "url", "payload", "refers").mapInArrow(write_batches, "value binary").select(F.col("value").cast("string"))
     per_file = max(1, int(FILE / max(min(sized, SEGMENT), 512)))
     out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    drop(keyed)
 
 
 FIELDS = {"origin": pa.string(), "type": pa.string(), "page_id": pa.int64(), "url": pa.string(), "digest": pa.string(), "refers_to": pa.string(), "refers_page": pa.int64()}
