@@ -41,8 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without a window of a benchmark item."""
     release(spark)
     rows = docs.withColumn("_key", F.xxhash64("text"))
-    judged = decontaminate.decontaminate(rows.select("doc_id", "text", "_key"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_text"))
+    judged = decontaminate.decontaminate(rows.select("doc_id", "text", F.col("_key").alias("text_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = judged.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
     return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_doc"]) & (rows["_key"] == bad["_text"]), "left_anti").select(*docs.columns)
 
 
