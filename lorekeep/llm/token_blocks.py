@@ -39,7 +39,7 @@ LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\
 #: How the byte-level vocabulary cuts a text before it merges bytes (a fixed rule of the public format).
 PIECES = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
 #: Pieces remembered, and the longest that is.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 
 
 class PieceEncoder:
@@ -59,16 +59,18 @@ class PieceEncoder:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         pieces = PIECES.findall(text)
+        parts = list(map(self.known.get, pieces))
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        found = dict(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
-        return b"".join([found.get(p) or self.known[p] for p in pieces])
+            return b"".join(parts)
+        except TypeError:  # some are new
+            where = [k for k, ids in enumerate(parts) if ids is None]
+        new = list(dict.fromkeys([pieces[k] for k in where]))
+        found = dict(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        for k in where:
+            parts[k] = found[pieces[k]]
+        if len(self.known) < REMEMBERED:  # frequent pieces come early
+            self.known.update((p, ids) for p, ids in found.items() if len(p) <= LONGEST)
+        return b"".join(parts)
 
 
 _encoders: dict[str, PieceEncoder] = {}
