@@ -55,6 +55,8 @@ def literal_weight(value: str) -> float:
         return 0.0
     bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
+    if kinds == 1 and len(value) < 20:  # a word or a number
+        return 0.0
     return 0.1 * min(kinds, 3) + 0.1 * (len(value) >= 12) + 0.3 * min(bits, 4) / 4
 
 
@@ -84,15 +86,29 @@ def lexed(text: str) -> list[tuple[int, int]]:
                     other = None
                 pairs.append((m[2], "".join(parts), start, end, other))
         at += len(line) + 1
+    # The first assignment of a name counts.
     held = {name: (value, start, end, other) for name, value, start, end, other in reversed(pairs)}
+    ends: dict[str, tuple[str, int, int]] = {}
+
+    def followed(value: str, start: int, end: int, other: str | None) -> tuple[str, int, int]:
+        """The literal that a chain of constants ends in; each name is followed once."""
+        way: list[str] = []
+        while other in held and other not in ends and other not in seen:
+            way.append(other)
+            seen.add(other)
+            value, start, end, other = held[other]
+        found = ends.get(other, (value, start, end)) if other else (value, start, end)
+        seen.difference_update(way)
+        ends.update(dict.fromkeys(way, found))
+        return found
+
+    seen: set[str] = set()
     spans = set()
     for name, value, start, end, other in pairs:
-        weight = name_weight(name)
-        if weight:
-            seen = {name}
-            while other in held and other not in seen:  # a constant is followed to its literal
-                seen.add(other)
-                value, start, end, other = held[other]
+        if weight := name_weight(name):
+            seen.add(name)
+            value, start, end = followed(value, start, end, other)
+            seen.discard(name)
             joined = re.sub(r"\$\{(\w+)\}", lambda m: held[m[1]][0] if m[1] in held else m[0], value)
             if weight + literal_weight(joined) >= THRESHOLD:
                 spans.add((start, end))

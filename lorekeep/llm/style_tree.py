@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import materialize, ship
 
-#: Comments, declarations and tags; an attribute value may hold ">".
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: Comments, declarations and tags; an attribute value may hold ">", and a quote that is never closed is a character.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
+OPEN_COMMENT = re.compile("<!--.*()()", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+#: Elements inside each other, as browsers bound them; what lies deeper belongs to the last.
+DEPTH = 512
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -58,9 +61,10 @@ class Page:
         self.nodes: dict[int, tuple[int, int]] = {}
         self.has_main = False
         self.parts: list[str] = []
-        at = 0
+        at, last = 0, source.rfind(">")
         while at < len(source):
-            found = MARKUP.search(source, at)
+            # After the last ">" there is no tag, and a comment that opens is never closed.
+            found = MARKUP.search(source, at) if at <= last else OPEN_COMMENT.search(source, at)
             self._text(source[at : found.start() if found else len(source)])
             if not found:
                 break
@@ -125,6 +129,8 @@ class Page:
             main = self.has_main = True
         if aside and not self.open[-1][2] and tag in INLINE and self.parts:
             self.parts.append(" ")
+        if len(self.open) > DEPTH:
+            return
         node = xxhash.xxh64_intdigest(f"{tag}.{'.'.join(names)}", seed=above)
         self.open.append((tag, node, aside, main, [], xxhash.xxh64()))
         if raw.endswith("/") and tag not in INLINE | {"p", "div"}:
