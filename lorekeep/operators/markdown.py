@@ -505,8 +505,8 @@ def _claim(leaf: Leaf, above: list[list]) -> int:
     return start
 
 
-def _document_lines(text: str) -> tuple[list[Line], int]:
-    """Lines after the front matter, and where that ends."""
+def _document_lines(text: str) -> list[Line]:
+    """The lines after the front matter; one that is never closed is part of the text."""
     lines, at = [], 0
     for raw in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text):
         body = raw.rstrip("\r\n")
@@ -515,8 +515,8 @@ def _document_lines(text: str) -> tuple[list[Line], int]:
     if lines and re.fullmatch(r"---[ \t]*", lines[0].text) and len(lines) > 1 and lines[1].text.strip():
         for k in range(1, len(lines)):
             if re.fullmatch(r"(?:---|\.\.\.)[ \t]*", lines[k].text):
-                return lines[k + 1 :], k
-    return lines, 0
+                return lines[k + 1 :]
+    return lines
 
 
 def sections(text: str) -> tuple[list[list[Block]], list[int]]:
@@ -524,7 +524,7 @@ def sections(text: str) -> tuple[list[list[Block]], list[int]]:
     bytes_at = [0]
     for c in text:
         bytes_at.append(bytes_at[-1] + len(c.encode("utf-8", "surrogatepass")))
-    lines, _ = _document_lines(text)
+    lines = _document_lines(text)
     blocks, root = Blocks(), Container("document", 0)
     blocks.parse(lines, root, len(text))
     found: list[list[Block]] = [[]]

@@ -152,7 +152,7 @@ def _zip_directory(f: BinaryIO, size: int) -> tuple[int, int, int]:
     span = min(size, 65_557)
     f.seek(size - span)
     tail = f.read(span)
-    found = []
+    found, failure = [], ArchiveError("no end record")
     at = tail.find(b"PK\5\6")
     while at >= 0:
         if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] <= len(tail):
@@ -164,7 +164,7 @@ def _zip_directory(f: BinaryIO, size: int) -> tuple[int, int, int]:
     if len(found) > 1:
         raise ArchiveError("more than one end record")
     if not found:
-        raise locals().get("failure") or ArchiveError("no end record")
+        raise failure
     return found[0]
 
 

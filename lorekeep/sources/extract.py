@@ -57,7 +57,6 @@ def _string(token: bytes) -> str:
 
 def _shown(body: bytes) -> str:
     text, strings, inside = [], [], False
-    last = b""
     for m in _TOKEN.finditer(body):
         token = m[0]
         if token[:1] in b"(<":
@@ -71,6 +70,4 @@ def _shown(body: bytes) -> str:
         elif inside and re.fullmatch(rb"-?\d+(\.\d+)?", token) and float(token) < -200:
             strings.append(" ")
         inside = token == b"[" or inside and token != b"]"
-        last = token
-    del last
     return re.sub(r"\n+", "\n", "".join(text)).strip("\n")
