@@ -92,14 +92,17 @@ def scored(chunks: DataFrame, query: str, *, collections: Sequence[str] = (), st
     return held.where(hit).select(*KEY, "body", F.round(total, 6).alias("score"))
 
 
-def scored_from_index(index: DataFrame, term_table: DataFrame, corpus: DataFrame, query: str, *, collections: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
+def index_statistics(index: DataFrame, terms: Sequence[str], chunks: int, total_length: int) -> Statistics:
+    """The same numbers from stored postings and stored sums: only rows of the query's terms are read."""
+    df = index.where(F.col("term").isin(*terms)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect() if terms else []
+    return Statistics(chunks, total_length / chunks if chunks else 0.0, {r["term"]: r["df"] for r in df})
+
+
+def scored_from_index(index: DataFrame, query: str, stats: Statistics, *, collections: Sequence[str] = (), k1: float = K1, b: float = B) -> DataFrame:
     """(collection, path, chunk_sequence, score) from stored postings, of which only the query's terms are read."""
     terms = query_tokens(query)
-    n, total = corpus.select("n_chunks", "total_length").first()
-    df = {r["term"]: r["df"] for r in term_table.where(F.col("term").isin(*terms)).select("term", "df").collect()} if terms else {}
-    stats = Statistics(n, total / n if n else 0.0, df)
-    found = index.where(F.col("term").isin(*terms) & in_collections(collections))
+    found = index.where(F.col("term").isin(*terms) & in_collections(collections)) if terms else index.where(F.lit(False))
     share = F.lit(0.0)
-    for t, holding in df.items():
+    for t, holding in stats.holding.items():
         share = F.when(F.col("term") == t, weight(F.col("tf"), F.col("length").cast("double"), holding, stats, k1, b)).otherwise(share)
     return found.groupBy(*KEY).agg(F.round(F.sum(share), 6).alias("score"))

@@ -97,7 +97,9 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores from an inverted index."""
     chunks = views.chunks(spark, sf_dir)
-    scored = bm25.scored_from_index(bm25.postings(chunks), bm25.term_stats(chunks), bm25.corpus_stats(chunks), QUERY)
+    index, sums = bm25.postings(chunks), bm25.corpus_stats(chunks).first()
+    stats = bm25.index_statistics(index, T.query_tokens(QUERY), sums["n_chunks"], sums["total_length"])
+    scored = bm25.scored_from_index(index, QUERY, stats)
     return scored.orderBy(*ranking.by_chunk()).limit(LIMIT)
 
 

@@ -79,11 +79,9 @@ class SearchEngine:
     def _text(self, request: SearchRequest) -> DataFrame:
         """Scores from the stored index: term rows alone are read, and bodies of what may be shown."""
         index = self.store.table("postings", self.manifest)
-        terms = bm25.query_tokens(request.query)
-        found = index.where(F.col("term").isin(*terms)) if terms else index.where(F.lit(False))
-        table = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        corpus = bm25.corpus_stats(self.store.table("chunks", self.manifest))
-        scored = bm25.scored_from_index(index, table, corpus, request.query, collections=request.collections)
+        chunks, length = self.store.sums(self.manifest)
+        stats = bm25.index_statistics(index, bm25.query_tokens(request.query), chunks, length)
+        scored = bm25.scored_from_index(index, request.query, stats, collections=request.collections)
         best = ranking.top(scored, ranking.fetch_size(request.limit, request.level))
         # At most ten times the limit of a request.
         return self._chunks(request).select(*bm25.KEY, "body").join(F.broadcast(best), list(bm25.KEY))

@@ -40,6 +40,8 @@ class Manifest:
     #: Whether chunks have their source ranges; a store without them has to be built anew.
     ranges: bool = True
     tables: dict[str, dict[str, str]] = field(default_factory=lambda: {t: {} for t in SCHEMAS})
+    #: Chunks with a token and their tokens, by collection.
+    lengths: dict[str, list[int]] = field(default_factory=dict)
 
 
 class Store:
@@ -119,7 +121,9 @@ class Store:
                 pinned = rows.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in SCHEMAS[name]])
                 if name == "chunks":
                     pinned = pinned.withMetadata("embedding", {"embedding_model": manifest.embedding_model, "vector_dim": manifest.vector_dim})
-                pinned.write.parquet(f"{self.root}/{place}")
+                # In order of paths, so that reads of a document skip all other row groups.
+                order = [c for c in ("path", "chunk_sequence") if c in pinned.columns]
+                pinned.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.root}/{place}")
                 tables[name][collection] = place
         if chunks is not None:
             # F16: the text index of what was just written, by term, so that a query reads a few row groups.
@@ -128,8 +132,15 @@ class Store:
             index = bm25.postings(stored).select(*POSTINGS.names)
             index.repartitionByRange("term", "path").sortWithinPartitions("term").write.parquet(f"{self.root}/{place}")
             tables["postings"][collection] = place
+            row = bm25.corpus_stats(stored).first()
+            return replace(manifest, tables=tables, lengths=manifest.lengths | {collection: [row["n_chunks"], row["total_length"]]})
         return replace(manifest, tables=tables)
 
+    def sums(self, manifest: Manifest) -> tuple[int, int]:
+        """Chunks with a token and all tokens of the store."""
+        held = [n for c, n in manifest.lengths.items() if c in manifest.tables["chunks"]]
+        return sum(n for n, _ in held), sum(t for _, t in held)
+
     # Pins
 
     def check_pins(self, model: str, dim: int, *, strict: bool) -> str | None:
