@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import components, drop, materialize, ship
+from lorekeep.llm.shared import apart, components, drop, materialize, maybe_in, ship
 
 #: Bands and samples a band: a pair at a similarity of 0.8 is missed with a probability of 5e-8.
 BANDS, ROWS = 32, 4
@@ -149,7 +149,9 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi"), "texts")
+    nodes = materialize(nodes, "involved")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(maybe_in("doc_id", nodes))
+    texts = materialize(texts.join(nodes, "doc_id", "left_semi"), "texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -177,7 +179,7 @@ def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """
     rooted = members.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
-    held = rooted.join(mixed, "key").withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
+    held = rooted.join(apart(mixed), "key").withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
     # A block holds about BLOCK members: their number decides how many blocks a bucket has.
     held = held.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "root", "n_shingles", "sketch")).alias("m"))
     ends = held.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "m", "block")
@@ -219,11 +221,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     ship(docs.sparkSession)
     signed = materialize(signatures(docs, width), "signatures")
     sets = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("leader"))
-    led = sets.where("leader IS NOT NULL")
+    led = apart(sets.where("leader IS NOT NULL"))
     nodes = signed.join(led.withColumnsRenamed({"set_a": "a_", "set_b": "b_"}), (F.col("doc_id") == F.col("leader")) & (F.col("set_a") == F.col("a_")) & (F.col("set_b") == F.col("b_"))).select("doc_id", "n_shingles", "sketch", "buckets")
     nodes = materialize(nodes.distinct(), "nodes")
     keyed = nodes.select("doc_id", F.explode("buckets").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
+    shared = apart(shared)
     members = materialize(keyed.join(shared, "key"), "members")
     stars = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = confirmed(materialize(alike(stars, nodes, percent), "pairs"), docs, width, percent)

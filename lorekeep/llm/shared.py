@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -20,7 +21,9 @@ _written: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
     if not (place := spark.conf.get("spark.checkpoint.dir", None)):
-        place = f"file://{tempfile.mkdtemp(prefix='lorekeep-')}"
+        own = tempfile.mkdtemp(prefix="lorekeep-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        place = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
@@ -95,6 +98,36 @@ def partitions_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def apart(sums: DataFrame) -> DataFrame:
+    """Sums by key, dealt out evenly again, for a join by that key.
+
+    Spark would otherwise keep them where they were summed and bring a hot key's rows there, to one task; now
+    both sides of the join are shuffled for it, and adaptive execution can split the hot side.
+    """
+    return sums.repartition(partitions_for(sums.sparkSession))
+
+
+def maybe_in(column: str, keys: DataFrame, longs: int = 1 << 17) -> Column:
+    """Whether `column` may be among keys (one column of the same name): true for all that are, false for most others.
+
+    Keys set bits of one bitmap of a fixed size (1 MB), which is an array that every task holds: rows are told
+    apart where they are read, before a join would shuffle them. With very many keys it is true for all.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(64 * longs))
+    bits = keys.select(place.alias("p")).groupBy(F.expr("p div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits"))
+    # As many rows as the bitmap has longs.
+    dense = keys.sparkSession.range(longs).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bitmap = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
+    word = F.element_at(bitmap.scalar(), F.shiftright(place, 6).cast("int") + 1)
+    return F.getbit(word, (place % 64).cast("int")) == 1
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """rows whose `column` is not among keys. Only rows that may be are shuffled, the others pass; null is kept."""
+    doubtful = maybe_in(column, keys)
+    return rows.where(~doubtful).unionByName(rows.where(doubtful).join(keys.select(column), column, "left_anti").select(*rows.columns))
+
+
 def global_rank(df: DataFrame, order: list[Column], label: str, weight: str | None = None) -> tuple[DataFrame, int]:
     """df with `_rank`, its row's place from 0 in the order given, and the number of rows.
 
@@ -132,9 +165,9 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     mark = _fingerprint(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = apart(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = materialize(small, label)
         drop(edges)
