@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import decontaminate, entropy_mix, hilbert_shards, line_frequency, near_dup
-from lorekeep.llm.shared import release, shared_dir
+from lorekeep.llm.shared import materialize, release, shared_dir, without
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,16 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.withColumn("_id", F.monotonically_increasing_id() if odd else F.col("doc_id"))
     judged = near_dup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"))
     gone = judged.where("NOT kept").select(F.col("doc_id").alias("_id"))
-    return rows.join(gone, "_id", "left_anti").select(*docs.columns)
+    return without(rows, "_id", materialize(gone, "gone")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     release(spark)
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    judged = decontaminate.decontaminate(rows.select("doc_id", "text", F.col("_key").alias("text_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
-    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["_doc"]) & (rows["_key"] == bad["_text"]), "left_anti").select(*docs.columns)
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    judged = decontaminate.decontaminate(rows.select("doc_id", "text", F.col("_key").alias("row_key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = judged.where("contaminated").select(F.col("row_key").alias("_key"))
+    return without(rows, "_key", materialize(bad, "bad")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import fixed, others, words_of
+from lorekeep.llm.shared import fixed, materialize, others, words_of
 
+#: Up to so many depleted documents are sent to every task (a few ten MB).
+SENT = 300_000
 #: What is not a symbol.
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -100,7 +102,12 @@ def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_lin
     # A row that stands in the table n times has added its lines n times.
     copies = docs.groupBy(doc.alias("_doc"), F.xxhash64("source", "text").alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
     lost = lost.join(copies.where("_copies > 1"), ["_doc", "_key"], "left").select("_doc", "_key", (F.col("_lost") / F.coalesce("_copies", F.lit(1))).alias("_lost"))
+    # Words are counted here for themselves, so that texts need not go through this join.
+    counted = docs.select(doc.alias("_doc"), F.xxhash64("source", "text").alias("_key"), fixed(F.size(words_of(F.col("text")))).alias("_words"))
+    depleted = counted.join(lost, ["_doc", "_key"]).where(F.col("_words") - F.col("_lost") < own_share * F.col("_words")).select("_doc", "_key").distinct()
+    depleted = materialize(depleted.withColumn("_depleted", F.lit(True)), "depleted")
+    if depleted.limit(SENT + 1).count() <= SENT:
+        depleted = F.broadcast(depleted)  # of the size just tested; a larger one is joined by a shuffle
     base = with_base(docs.withColumns({"_d": doc, "_k": F.xxhash64("source", "text")}))
-    judged = base.join(lost, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    own = F.col("n_words") - F.coalesce("_lost", F.lit(0.0))
-    return judged.withColumn("kept", ~F.col("base_failed") & (own >= own_share * F.col("n_words"))).drop("_d", "_k", "_doc", "_key", "_lost")
+    judged = base.join(depleted, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & F.col("_depleted").isNull()).drop("_d", "_k", "_doc", "_key", "_depleted")
