@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import drop, materialize, scratch_path, ship
+from lorekeep.llm.shared import apart, drop, materialize, scratch_path, ship
 
 #: Bytes of a record's block in one segment, of a transfer chunk, and of archive files on average.
 SEGMENT, CHUNK, FILE = 1 << 18, 1 << 14, 1 << 26
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None
     large = keyed.select("page_id", "number", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
     last = large.groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
     sized = large.agg(F.avg("size")).first()[0] or 0
-    marked = keyed.join(last, "digest", "left").withColumn("refers", F.when(F.col("kept.number") != F.col("number"), F.col("kept")))
+    marked = keyed.join(apart(last), "digest", "left").withColumn("refers", F.when(F.col("kept.number") != F.col("number"), F.col("kept")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
