@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import fixed, materialize, others
+from lorekeep.llm.shared import apart, fixed, materialize, others
 
 WIDTH = 3
 
@@ -46,7 +46,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = docs.columns
     found = materialize(document_windows(docs), "windows")
     first = found.groupBy("_h1", "_h2").agg(F.min(F.struct("doc_id", "_at", "_key")).alias("_first"), F.count(F.lit(1)).alias("_times")).where("_times > 1").drop("_times")
-    later = found.join(first, ["_h1", "_h2"]).where(~F.struct("doc_id", "_at", "_key").eqNullSafe(F.col("_first")))
+    later = found.join(apart(first), ["_h1", "_h2"]).where(~F.struct("doc_id", "_at", "_key").eqNullSafe(F.col("_first")))
     # A document's windows are at most its lines.
     spans = later.groupBy(F.col("doc_id").alias("_doc"), F.col("_key").alias("_k")).agg(F.array_sort(F.collect_set(F.struct("_at", "_end"))).alias("_cuts"))
     # Gaps between merged spans, as (first line, lines).
