@@ -54,6 +54,11 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
+def once(value: Column) -> Column:
+    """value, computed once a row: filters above are not rewritten in its terms."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def query_tokens(query: str) -> list[str]:
     """E5 for a query, each token once, in order."""
     return list(dict.fromkeys(t for t in regex.split(SEPARATOR, query.lower()) if t))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import query_tokens, tokens
+from lorekeep.functions.text import once, query_tokens, tokens
 
 K1, B = 1.2, 0.75
 KEY = ("collection", "path", "chunk_sequence")
@@ -79,17 +79,13 @@ def scored(chunks: DataFrame, query: str, *, collections: Sequence[str] = (), st
     """
     terms = query_tokens(query)
     stats = stats or statistics(chunks, terms)
-    held = chunks.where(in_collections(collections)).select(*KEY, "body", tokens(F.col("body")).alias("_t"))
+    held = chunks.where(in_collections(collections)).select(*KEY, "body", once(tokens(F.col("body"))).alias("_t"))
     if not terms:
         return held.where(F.lit(False)).select(*KEY, "body", F.lit(0.0).alias("score"))
-    length = F.size("_t").cast("double")
-    parts = []
-    for t in terms:
-        tf = occurrences("_t", t)
-        parts.append(F.when(tf > 0, weight(tf, length, stats.holding[t], stats, k1, b)).otherwise(F.lit(0.0)))
+    counted = held.select(*KEY, "body", F.size("_t").cast("double").alias("_length"), once(F.array(*[occurrences("_t", t) for t in terms])).alias("_tf"))
+    parts = [weight(F.col("_tf")[k], F.col("_length"), stats.holding[t], stats, k1, b) for k, t in enumerate(terms)]
     total = sum(parts[1:], parts[0])
-    hit = F.arrays_overlap("_t", F.array(*map(F.lit, terms)))
-    return held.where(hit).select(*KEY, "body", F.round(total, 6).alias("score"))
+    return counted.where(F.exists("_tf", lambda n: n > 0)).select(*KEY, "body", F.round(total, 6).alias("score"))
 
 
 def index_statistics(index: DataFrame, terms: Sequence[str], chunks: int, total_length: int) -> Statistics:
