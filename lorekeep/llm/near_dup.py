@@ -180,8 +180,9 @@ def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rooted = members.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
     held = rooted.join(apart(mixed), "key").withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
-    # A block holds about BLOCK members: their number decides how many blocks a bucket has.
-    held = held.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "root", "n_shingles", "sketch")).alias("m"))
+    # A block holds about BLOCK members: their number decides how many blocks a bucket has. Dealt out by block,
+    # or a bucket's rows would stay together where they were joined.
+    held = held.repartition("key", "block").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "root", "n_shingles", "sketch")).alias("m"))
     ends = held.withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "m", "block")
     first = ends.where("block = i").select("key", "i", "j", F.col("m").alias("x"))
     second = ends.where("block = j").select("key", "i", "j", F.col("m").alias("y"))
