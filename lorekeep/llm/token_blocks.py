@@ -172,21 +172,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2)
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
-        size = total = 0
+        size = total = written = 0  # written: since the documents already listed
         ids: list[int | None] = []
         counts: list[int] = []
 
         def flush() -> Iterator[bytes]:
-            nonlocal held, size
+            nonlocal held, size, written
             joined = np.frombuffer(b"".join(held), "<u4")
             whole = len(joined) if final else len(joined) // BLOCK * BLOCK
             for k in range(0, whole, FRAME):
                 yield b"I" + encode_ids(joined[k : min(k + FRAME, whole)])
             held, size = [joined[whole:].tobytes()], len(joined) - whole
-
-        def listed() -> bytes:
-            known = np.array([i is not None for i in ids], np.uint8)
-            return b"D" + struct.pack("<I", len(ids)) + np.array([i or 0 for i in ids], "<i8").tobytes() + known.tobytes() + np.array(counts, "<u8").tobytes()
+            written += whole
+
+        def listed() -> Iterator[bytes]:
+            """The documents whose ids are all written; those with ids held back stay for the next list."""
+            nonlocal ids, counts, written
+            ends = np.cumsum(counts)
+            n = int(np.searchsorted(ends, written, "right"))
+            if n:
+                known = np.array([i is not None for i in ids[:n]], np.uint8)
+                yield b"D" + struct.pack("<I", n) + np.array([i or 0 for i in ids[:n]], "<i8").tobytes() + known.tobytes() + np.array(counts[:n], "<u8").tobytes()
+                ids, counts, written = ids[n:], counts[n:], written - int(ends[n - 1])
 
         final = False
         for batch in batches:
@@ -199,12 +206,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2)
                 counts.append(len(found) // 4)
                 if size >= FRAME:
                     yield from flush()
-                    yield listed()
-                    ids, counts = [], []
+                    yield from listed()
         final = True
         if total:
             yield from flush()
-            yield listed()
+            yield from listed()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, starts, total = 0, [], 0
@@ -238,6 +244,8 @@ def parse(content: bytes) -> Iterator[tuple[int, int | None, int, int, np.ndarra
             size, joined, begin = 4 + 17 * n, np.concatenate(parts), 0
             # The ids of the last document may end in frames that follow; it is listed when they are all there.
             for i, k, c in zip(ids.tolist(), known.tolist(), counts.tolist(), strict=True):
+                if begin + c > len(joined):
+                    raise ValueError(f"document {i if k else None} is listed before its ids")
                 yield tail, i if k else None, start, c, joined[begin : begin + c]
                 start, begin = start + c, begin + c
             parts = [joined[begin:]]

@@ -254,6 +254,34 @@ def test_token_files(docs, empty):
     assert token_blocks.token_files(empty, path).count() == 0
 
 
+def test_token_files_of_several_frames(spark, monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_blocks, "FRAME", 2 * token_blocks.BLOCK)
+    texts = [" ".join(f"a{j * (i + 3)}" for j in range(n)) for i, n in enumerate([900, 10, 5000, 700, 3, 1500, 1500, 20])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    for parts in (1, 4):
+        monkeypatch.setattr(token_blocks, "partitions_for", lambda *a, n=parts: n)
+        assert sorted(map(tuple, token_blocks.token_files(docs, path).collect())) == want
+
+
+def test_a_document_listed_before_its_ids_is_an_error():
+    ids = token_blocks.encode_ids(np.arange(5, dtype="<u4"))
+    listed = b"D" + np.array([1], "<u4").tobytes() + np.array([7], "<i8").tobytes() + b"\1" + np.array([6], "<u8").tobytes()
+    frames = b"I" + ids + b"\n" + listed + b"\n"
+    last = b"X" + np.array([0], "<u4").tobytes() + np.array([6], "<u8").tobytes() + np.array([2], "<u4").tobytes() + np.array([0, len(ids) + 2], "<u8").tobytes() + b"\n"
+    with pytest.raises(ValueError, match="before its ids"):
+        list(token_blocks.parse(frames + last))
+
+
 def test_pieces_are_those_of_the_tokenizer():
     P = pytest.importorskip("public_tokenizers")
     encode = token_blocks.PieceEncoder(P.path("byte_bpe_50k.json"))
