@@ -148,10 +148,8 @@ class Page:
                 return
 
     def text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
-        """The main text; style nodes in `low` are left out where the page does not itself mark its article."""
-        if self.has_main:
-            return "\n".join(t for t, _, main in self.blocks if main)
-        return "\n".join(t for t, nodes, _ in self.blocks if low.isdisjoint(nodes))
+        """The main text, that of the marked article where there is one, without style nodes in `low`."""
+        return "\n".join(t for t, nodes, main in self.blocks if (main or not self.has_main) and low.isdisjoint(nodes))
 
 
 def host_of(url: str | None) -> str:
@@ -166,7 +164,7 @@ def _signed(x: int) -> int:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, page, node, style, content): each style node of each page that does not mark its article."""
+    """(host, page, node, style, content): each style node of each page."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,9 +172,8 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 text = source.as_py() or ""
                 page = Page(text)
-                if not page.has_main:
-                    host, own = host_of(url), _signed(xxhash.xxh64_intdigest(text))
-                    rows += [(host, own, _signed(node), _signed(style), _signed(content)) for node, (style, content) in page.nodes.items()]
+                host, own = host_of(url), _signed(xxhash.xxh64_intdigest(text))
+                rows += [(host, own, _signed(node), _signed(style), _signed(content)) for node, (style, content) in page.nodes.items()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "node", "style", "content"])
 
@@ -205,9 +202,9 @@ def extract(pages: DataFrame, *, least_pages: int = 8, threshold: float = 0.3) -
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     text: the blocks of the article in page order, one a line, character references decoded, white space within
-    a block as one space. Where a page marks its article (article, main, role=main) that is the main text,
-    without menus, adverts, comments and the like in it; else all of the page but these and the branches that
-    its host's style tree finds unimportant.
+    a block as one space. Where a page marks its article (article, main, role=main) that is taken, else all of
+    the page; menus, adverts, comments and the like go, and so do the branches that the style tree of the host's
+    pages finds unimportant.
 
     A null or empty html gives an empty text; null urls and those without a host form one host. Repeated rows
     are each returned. Empty table: empty result. Other columns are not read.
@@ -242,14 +239,14 @@ def extract(pages: DataFrame, *, least_pages: int = 8, threshold: float = 0.3) -
 
 
 def nodes_by_page(pages: DataFrame) -> DataFrame:
-    """(key, host, node) for every style node of every page that does not mark its article."""
+    """(key, host, node) for every style node of every page."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, url, source in zip(batch.column("key").to_pylist(), batch.column("url").to_pylist(), batch.column("html"), strict=True):
                 page = Page(source.as_py() or "")
-                rows += [] if page.has_main else [(key, host_of(url), _signed(n)) for n in page.nodes]
+                rows += [(key, host_of(url), _signed(n)) for n in page.nodes]
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["key", "host", "node"])
 

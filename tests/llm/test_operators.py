@@ -120,6 +120,19 @@ def test_style_trees_remove_what_a_site_repeats(spark, monkeypatch):
     assert {r.page_id: r.text for r in style_tree.extract(frame).collect()} == want
 
 
+def test_style_trees_clean_marked_articles_too(spark, monkeypatch):
+    story = "<article><div class=top>Same words on all pages</div><div class=body><p>Story {0} is told here</p></div></article><div>Beside {0}</div>"
+    rows = [(i, f"http://site.x/{i}", page(story.format(i))) for i in range(20)]
+    # A page without the mark is compared with those that have it.
+    rows += [(100 + i, f"http://two.x/{i}", page(f"<main><p>M{i}</p></main><div class=foot>Imprint</div>")) for i in range(20)]
+    rows.append((120, "http://two.x/20", page("<section><p>M20</p></section><div class=foot>Imprint</div>")))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story {i} is told here" for i in range(20)} | {100 + i: f"M{i}" for i in range(21)}
+    assert {r.page_id: r.text for r in style_tree.extract(frame).collect()} == want
+    monkeypatch.setattr(style_tree, "SENT", 0)
+    assert {r.page_id: r.text for r in style_tree.extract(frame).collect()} == want
+
+
 # 3
 
 
