@@ -18,9 +18,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines that their host repeats; n_chars follows the text."""
     release(spark)  # what earlier stages left: their results are stored by now
-    return line_frequency.quality(docs).where("kept").select(*docs.columns)
+    before = docs.withColumn("whole_length", F.char_length("text"))
+    kept = line_frequency.quality(before, clean=True).where("kept")
+    if "n_chars" in docs.columns:
+        after = F.char_length("text")
+        kept = kept.withColumn("n_chars", F.when(after < F.col("whole_length"), after).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

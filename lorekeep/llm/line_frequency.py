@@ -1,8 +1,8 @@
 """Quality rules by cross-document line frequency (native DataFrame functions only).
 
 Lines that very many different texts of one host share are boilerplate: they are hashed after normalisation,
-counted per host over distinct texts, and removed where the count is above the limit. A document left with
-little of its own is rejected, as is one that fails the base rules.
+counted per host over distinct texts, and known as such where the count is above the limit. A document left with
+little of its own is rejected, as is one that fails the base rules; from the others the lines are removed on demand.
 """
 
 from __future__ import annotations
@@ -79,13 +79,14 @@ def boilerplate(lines: DataFrame, hosts: DataFrame, min_docs: int, share: float)
     return found.join(hosts, found["source"].eqNullSafe(hosts["_source"])).where(F.col("_docs") >= limit).select("_line")
 
 
-def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_line_words: int = 40, own_share: float = 0.2) -> DataFrame:
+def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_line_words: int = 40, own_share: float = 0.2, clean: bool = False) -> DataFrame:
     """docs with the base measures and `kept`.
 
     docs needs doc_id, text and source (the host). A line of up to max_line_words words is boilerplate if at
     least min_docs different texts of its host and a share of them above `share` hold it: exact copies of
     a text count once, and long lines are prose. A document is depleted when lines that are not boilerplate
-    hold less than own_share of its words. kept: not base_failed and not depleted.
+    hold less than own_share of its words. kept: not base_failed and not depleted. With `clean`, `text` comes
+    without its boilerplate lines; measures and verdicts are those of the whole text.
 
     Nulls: a null text has no words and fails the base rules; null sources form one host; rows with a null
     doc_id are judged each by its text. Repeated rows are each returned, with equal verdicts. Empty table:
@@ -98,7 +99,10 @@ def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_lin
     hosts = docs.groupBy(F.col("source").alias("_source")).agg(F.count_distinct(F.xxhash64("text")).alias("_all"))
     common = boilerplate(lines.where(F.col("_n") <= max_line_words), hosts, min_docs, share)
     doc = F.coalesce(F.col("doc_id"), F.lit(-1))
-    lost = lines.join(common, "_line").groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_key")).agg(F.sum("_n").alias("_lost"))
+    hits = lines.join(common, "_line").select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_key"), "_line", "_n")
+    if clean:
+        hits = materialize(hits, "boilerplate")  # read twice
+    lost = hits.groupBy("_doc", "_key").agg(F.sum("_n").alias("_lost"))
     # A row that stands in the table n times has added its lines n times.
     copies = docs.groupBy(doc.alias("_doc"), F.xxhash64("source", "text").alias("_key")).agg(F.count(F.lit(1)).alias("_copies"))
     lost = lost.join(copies.where("_copies > 1"), ["_doc", "_key"], "left").select("_doc", "_key", (F.col("_lost") / F.coalesce("_copies", F.lit(1))).alias("_lost"))
@@ -110,4 +114,10 @@ def quality(docs: DataFrame, *, min_docs: int = 25, share: float = 0.01, max_lin
         depleted = F.broadcast(depleted)  # of the size just tested; a larger one is joined by a shuffle
     base = with_base(docs.withColumns({"_d": doc, "_k": F.xxhash64("source", "text")}))
     judged = base.join(depleted, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
-    return judged.withColumn("kept", ~F.col("base_failed") & F.col("_depleted").isNull()).drop("_d", "_k", "_doc", "_key", "_depleted")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("_depleted").isNull()).drop("_doc", "_key", "_depleted")
+    if clean:
+        marks = hits.groupBy("_doc", "_key").agg(F.collect_set("_line").alias("_marks"))
+        judged = judged.join(marks, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+        rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_marks", F.xxhash64("source", normalised(x))))
+        judged = judged.withColumn("text", F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))).drop("_doc", "_key", "_marks")
+    return judged.drop("_d", "_k")

@@ -336,6 +336,19 @@ def test_lines_that_a_host_repeats_are_counted_over_different_texts(spark):
     assert {i for i, r in found.items() if not r.kept} == set(range(40))
 
 
+def test_boilerplate_lines_are_removed_from_kept_documents(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"own{i}_{k}" for k in range(60))
+    rows = [(i, f"Share this page: {i}\n{own(i)}\n\nAll RIGHTS reserved.\n", "h", 7) for i in range(30)]
+    rows += [(29, rows[29][1], "h", 7), (None, f"all rights reserved\n{own(30)}", "h", 7), (31, f"all rights reserved\n{own(31)}", "other", 7), (32, own(32), None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    want = Counter((i, f"{own(i)}\n\n", "h", len(own(i)) + 2) for i in [*range(30), 29])
+    want += Counter([(None, own(30), "h", len(own(30))), rows[32], rows[33]])
+    assert Counter(map(tuple, corpus_pipeline.quality(spark, docs, "").collect())) == want
+    assert {r.text for r in line_frequency.quality(docs).collect()} == {r[1] for r in rows}
+
+
 # 8
 
 
