@@ -30,7 +30,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 #: What an assignment of ASSIGN needs, to leave most texts unread.
 STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|\$?\{?[A-Za-z0-9_+/.=~$@%!?*^&|:-]++\}?"
+LITERAL = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`|\$?\{?(?:[A-Za-z0-9_+/.=~$@%!?*^|:-]++|&(?![A-Za-z_][\w.-]*+=(?!=)))++\}?"
 PAIR = re.compile(rf"(?<![\w.-])([\"']?)([A-Za-z_$][\w.$-]*+)\1[ \t]*+(?::=|=>|[:=](?!=))[ \t]*+({LITERAL})", re.A)
 JOINED = re.compile(rf"[ \t]*+\+[ \t]*+({LITERAL})")
 NAME = re.compile(r"\$?\{?([A-Za-z_][\w.-]*)\}?", re.A)
@@ -67,13 +67,19 @@ def _value(raw: str) -> tuple[str, int, bool]:
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name."""
-    pairs: list[tuple[str, str, int, int, str | None]] = []
+    # A value of None is the text from start to end: literals may lie in each other, and would be copied often.
+    pairs: list[tuple[str, str | None, int, int, str | None]] = []
     at = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line:
-            for m in PAIR.finditer(line):
+            place = 0
+            while m := PAIR.search(line, place):
                 raw = m[3] if m[3][:1] in "\"'`" else m[3].rstrip(".,:;")
+                if raw[-1:] == "}" and "{" not in raw:  # that of a map around the pair
+                    raw = raw[:-1]
                 value, inset, quoted = _value(raw)
+                # An unquoted literal may itself be or hold the name of a pair (after a label, in a map or query string).
+                place = m.end(3) if quoted else m.start(3)
                 start = at + m.start(3) + inset
                 end = start + len(value)
                 other, parts, stop = None, [value], m.end(3)
@@ -84,13 +90,16 @@ def lexed(text: str) -> list[tuple[int, int]]:
                     parts.append(piece if q else f"${{{piece}}}")
                     end, stop = at + more.end(1) - q, more.end()
                     other = None
-                pairs.append((m[2], "".join(parts), start, end, other))
+                pairs.append((m[2], "".join(parts) if len(parts) > 1 else None, start, end, other))
         at += len(line) + 1
     # The first assignment of a name counts.
     held = {name: (value, start, end, other) for name, value, start, end, other in reversed(pairs)}
-    ends: dict[str, tuple[str, int, int]] = {}
+    ends: dict[str, tuple[str | None, int, int]] = {}
 
-    def followed(value: str, start: int, end: int, other: str | None) -> tuple[str, int, int]:
+    def said(value: str | None, start: int, end: int) -> str:
+        return text[start:end] if value is None else value
+
+    def followed(value: str | None, start: int, end: int, other: str | None) -> tuple[str | None, int, int]:
         """The literal that a chain of constants ends in; each name is followed once."""
         way: list[str] = []
         while other in held and other not in ends and other not in seen:
@@ -109,7 +118,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
             seen.add(name)
             value, start, end = followed(value, start, end, other)
             seen.discard(name)
-            joined = re.sub(r"\$\{(\w+)\}", lambda m: held[m[1]][0] if m[1] in held else m[0], value)
+            joined = re.sub(r"\$\{(\w+)\}", lambda m: said(*held[m[1]][:3]) if m[1] in held else m[0], said(value, start, end))
             if weight + literal_weight(joined) >= THRESHOLD:
                 spans.add((start, end))
     return sorted(spans)

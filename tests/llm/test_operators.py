@@ -160,6 +160,13 @@ def test_lexer_follows_constants():
     assert lexed("x = y\ny = x\npassword = x") == []
 
 
+@pytest.mark.parametrize("text", ["db_passphrase: 'V'", "INFO: db_passphrase: 'V'", "INFO: app: db_passphrase=V", "db: {passphrase: 'V'}", "db: {user: me, passphrase: V}", "const a = {pwd: 'V'}", "const a = {pwd:V}", "url=x&pwd=V&next=y", "GET /q?a=b&pwd=V", "pwd=V"])
+def test_lexer_sees_pairs_behind_labels_and_braces(text):
+    for secret in ("Zk9#qP2!vT", "Zk9%qP2!vT", "Zk9:qP2=vT&x"):
+        if "'" in text or "#" not in secret:
+            assert lexed(text.replace("V", secret)) == [secret]
+
+
 # 4
 
 
