@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +17,16 @@ from pyspark.sql import functions as F
 #: White space between words, for Java regular expressions.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
+#: Paths written inside the scopes that are open, innermost last; outside of any, the root goes when the driver ends.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open scratch scopes", default=())
+_roots: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. On a local master a fresh one where it is unset (tests)."""
     if not (place := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lorekeep-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         place = f"file://{own}"
@@ -29,22 +35,52 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the session, once."""
+    """Send this package to the Python workers of the session, once. The archive lies on the driver until it ends."""
     context = spark.sparkContext
     if not getattr(context, "_lorekeep_shipped", False):
-        top = Path(__file__).resolve().parents[2]
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='lorekeep-')}/lorekeep_package", "zip", top, "lorekeep")
-        context.addPyFile(archive)
+        own = tempfile.mkdtemp(prefix="lorekeep-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{own}/lorekeep_package", "zip", Path(__file__).resolve().parents[2], "lorekeep"))
         context._lorekeep_shipped = True
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path under the shared folder, which release() removes."""
-    path = f"{shared_dir(spark)}/lorekeep/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    """A new path under this driver's own part of the shared folder.
+
+    It is removed with the innermost scratch() scope it was made in, else when the driver ends: a result that was
+    returned lazily keeps what it reads, whatever else runs meanwhile.
+    """
+    key = (spark.sparkContext.applicationId, shared_dir(spark))
+    if key not in _roots:
+        root = f"{key[1]}/lorekeep-{uuid.uuid4().hex}"
+        files, target = _file_system(spark, root)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _roots[key] = root
+    path = f"{_roots[key]}/{label}-{uuid.uuid4().hex}"
+    if scopes := _open.get():
+        scopes[-1].append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose scratch tables are removed at its end. Results built in it must be stored by then."""
+    own: list[str] = []
+    token = _open.set((*_open.get(), own))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in own:
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
@@ -59,17 +95,9 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove every scratch table so far. Only for callers that have stored all results built on them."""
-    for path in list(_written):
-        _remove(spark, path)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
 
 
 def others(docs: DataFrame, results: Sequence[str]) -> DataFrame:
@@ -107,19 +135,38 @@ def apart(sums: DataFrame) -> DataFrame:
     return sums.repartition(partitions_for(sums.sparkSession))
 
 
-def maybe_in(column: str, keys: DataFrame, longs: int = 1 << 17) -> Column:
-    """Whether `column` may be among keys (one column of the same name): true for all that are, false for most others.
-
-    Keys set bits of one bitmap of a fixed size (1 MB), which is an array that every task holds: rows are told
-    apart where they are read, before a join would shuffle them. With very many keys it is true for all.
-    """
-    place = F.pmod(F.xxhash64(column), F.lit(64 * longs))
-    bits = keys.select(place.alias("p")).groupBy(F.expr("p div 64").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits"))
+def bitmap(keys: DataFrame, longs: int) -> Column:
+    """An array of `longs` longs (a power of 2), as a scalar, in which the 64-bit hashes keys (one column) have set a bit each."""
+    (name,) = keys.columns
+    word = F.col(name).bitwiseAND(64 * longs - 1)
+    bits = keys.groupBy(F.shiftright(word, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({name} & 63))")).alias("bits"))
     # As many rows as the bitmap has longs.
     dense = keys.sparkSession.range(longs).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    bitmap = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bitmap"))
-    word = F.element_at(bitmap.scalar(), F.shiftright(place, 6).cast("int") + 1)
-    return F.getbit(word, (place % 64).cast("int")) == 1
+    return dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits")))["bits"].alias("bitmap")).scalar()
+
+
+def in_bitmap(found: Column, longs: int, key: Column) -> Column:
+    """Whether the key's bit is set."""
+    return F.getbit(F.element_at(found, F.shiftright(key.bitwiseAND(64 * longs - 1), 6).cast("int") + 1), key.bitwiseAND(63).cast("int")) == 1
+
+
+#: Bits of a bitmap for each key, and its least and most 64-bit words (16 MB, which hold 8 million keys so).
+BITS_EACH, LEAST_LONGS, MOST_LONGS = 16, 1 << 10, 1 << 21
+
+
+def longs_for(keys: int) -> int:
+    """Words of a bitmap for so many keys: a power of 2 within the bounds."""
+    return min(MOST_LONGS, max(LEAST_LONGS, 1 << (BITS_EACH * keys // 64).bit_length()))
+
+
+def maybe_in(column: str, keys: DataFrame) -> Column:
+    """Whether `column` may be among keys (one stored column of the same name): true for all that are, false for most others.
+
+    Keys set bits of one bitmap, which is an array that every task holds: rows are told apart where they are read,
+    before a join would shuffle them. It grows with the keys up to MOST_LONGS; beyond, more rows pass.
+    """
+    longs = longs_for(keys.count())
+    return in_bitmap(bitmap(keys.select(F.xxhash64(column).alias("key")), longs), longs, F.xxhash64(column))
 
 
 def without(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
