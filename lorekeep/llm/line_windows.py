@@ -18,6 +18,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text that are independent: what is hashed first is the seed of what follows."""
+    return F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")
+
+
 def document_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, _key, _at, _end, _h1, _h2): windows over lines with content, as places in the whole text.
 
@@ -28,7 +33,7 @@ def document_windows(docs: DataFrame) -> DataFrame:
     starts = full.select("doc_id", "_key", "_l", "_p", F.explode(F.expr(f"sequence(0, greatest(size(_p) - {WIDTH}, 0))")).alias("_i"))
     last = f"least(_i + {WIDTH}, size(_p)) - 1"
     text = F.expr(f"array_join(transform(slice(_p, _i + 1, {WIDTH}), p -> trim(_l[p])), '\n')")
-    return starts.select("doc_id", "_key", F.expr("_p[_i]").alias("_at"), F.expr(f"_p[{last}]").alias("_end"), F.xxhash64(text).alias("_h1"), F.xxhash64(text, F.lit(1)).alias("_h2"))
+    return starts.select("doc_id", "_key", F.expr("_p[_i]").alias("_at"), F.expr(f"_p[{last}]").alias("_end"), *hashes(text))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
