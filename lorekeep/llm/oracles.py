@@ -33,13 +33,11 @@ QUALITY = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORD
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g SEMI JOIN (SELECT doc_id, k FROM g GROUP BY ALL HAVING count(*) > 1) r ON r.doc_id = g.doc_id AND r.k = g.k) GROUP BY doc_id),
 ln AS (SELECT doc_id, source, t, trim(regexp_replace(lower(x), '[\t-\r [:punct:]\p{{Nd}}]+', ' ', 'g')) AS k, len({_WORDS.format("x")}) AS n FROM (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d)),
-h AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
-shared AS (SELECT source, k, count(DISTINCT t) AS n FROM ln WHERE n <= 40 AND k <> '' GROUP BY source, k),
-common AS (SELECT shared.source, k FROM shared JOIN h ON h.source = shared.source WHERE shared.n >= greatest(25, h.n * 0.01)),
-lost AS (SELECT doc_id, sum(n) AS n FROM ln SEMI JOIN common ON common.source = ln.source AND common.k = ln.k GROUP BY doc_id),
+common AS (SELECT source, k FROM ln WHERE k <> '' GROUP BY source, k HAVING count(DISTINCT t) >= 25),
+lost AS (SELECT doc_id, sum(n) AS n FROM ln SEMI JOIN common ON common.source IS NOT DISTINCT FROM ln.source AND common.k = ln.k GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS gone FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN lost USING (doc_id)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - gone >= 0.2 * n_words AS kept FROM j"""
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - gone >= greatest(50, 0.2 * n_words) AS kept FROM j"""
 
 LINE_DEDUP = r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 x AS (SELECT doc_id, unnest(l) AS s, unnest(generate_series(1, len(l))) AS p FROM d),
