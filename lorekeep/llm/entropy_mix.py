@@ -2,12 +2,9 @@
 
 Every document gets a rate: the rates least far, in relative entropy over the interval from 0 to the most
 repeats, from taking everything once, among those whose expected words meet each source's target. The convex
-dual has one multiplier a source and is solved by safeguarded Newton steps over a histogram of sizes; the
-rates are exponential tilts. They are then rounded into copies.
-
-A document's entropy weighs as size to the power 1 - TILT, so its tilt goes with size to the power TILT. At
-1 (documents weigh alike) a source that shrinks would keep short documents only; at 0 (words weigh alike)
-all documents of a source have one rate.
+dual has one multiplier a source, which tilts exponentially by what is constrained, a document's words. A document's
+part of the dual depends on its source and size alone, so each source's histogram of sizes is one row, where
+safeguarded Newton steps solve its multiplier; sources are solved side by side. The rates are then rounded into copies.
 """
 
 from __future__ import annotations
@@ -18,8 +15,11 @@ from pyspark.sql import functions as F
 from lorekeep.llm.shared import drop, fixed, global_rank, materialize, others, words_of
 
 #: Bins a source at each pass over the rounding order, and passes: the order is resolved to their power.
-BINS, PASSES = 1024, 3
-TILT = 0.25
+BINS, PASSES = 1 << 15, 2
+#: Documents a source that fill up what the cut leaves, one after the other.
+FILLED = 3
+#: Bound of a multiplier: beyond it the shortest text that counts is at an end of its rates.
+FAR = 1e6
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -44,43 +44,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
 
 def rate(multiplier: Column, size: Column, mean: Column, most: float) -> Column:
     """The tilted rate, between 0 and `most`, and 1 at a multiplier of 0."""
-    tilt = F.exp(F.least(F.lit(60.0), F.greatest(F.lit(-60.0), multiplier * F.pow(size / mean, F.lit(TILT)))))
+    tilt = F.exp(F.least(F.lit(60.0), F.greatest(F.lit(-60.0), multiplier * size / mean)))
     return most * tilt / (most - 1 + tilt)
 
 
 def multipliers(sizes: DataFrame, aims: DataFrame, most: float, rounds: int, close: float) -> DataFrame:
-    """aims with _tilt, the dual solution of each source, to six decimals.
+    """aims with _tilt, the dual solution of each source.
 
-    A round sums words and their slope at the present multipliers by source and takes a Newton step, or
-    halves the bracket where the step leaves it. It ends when every source is within `close` of its target.
+    A source's histogram is one row: it has at most as many sizes as its longest text has words. A step sums words and
+    their slope at the present multiplier and goes by Newton, or halves the bracket where that leaves it; it stands still
+    once the words are within `close` of the target. Halving alone would reach the bracket's last bit in `rounds` steps;
+    a source that does not get there is an error.
     """
-    found = materialize(aims.withColumns({"_tilt": F.lit(0.0), "_low": F.lit(-60.0), "_high": F.lit(60.0)}), "tilt")
-    names = found.columns
-    for _ in range(rounds):
-        at = sizes.join(found, sizes["source"].eqNullSafe(found["source"])).select(found["source"], "size", "_n", "_mean", rate(F.col("_tilt"), F.col("size"), F.col("_mean"), most).alias("_rate"))
-        slope = F.col("_rate") * (1 - F.col("_rate") / most) * F.pow(F.col("size") / F.col("_mean"), F.lit(TILT))
-        sums = at.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("_n") * F.col("size") * F.col("_rate")).alias("_words"), F.sum(F.col("_n") * F.col("size") * slope).alias("_slope"))
-        stepped = found.join(sums, found["source"].eqNullSafe(sums["_source"]), "left").withColumn("_short", F.col("target") - F.col("_words"))
-        # An unreachable end (all taken, nothing taken) is settled by the bracket.
-        stepped = stepped.withColumns({"_low": F.when(F.col("_short") > 0, F.col("_tilt")).otherwise(F.col("_low")), "_high": F.when(F.col("_short") < 0, F.col("_tilt")).otherwise(F.col("_high"))})
-        newton = F.when(F.col("_slope") > 0, F.col("_tilt") + F.col("_short") / F.col("_slope"))
-        inside = newton.isNotNull() & (newton > F.col("_low")) & (newton < F.col("_high"))
-        moved = F.when(F.abs("_short") <= close * F.col("target"), F.col("_tilt")).when(inside, newton).otherwise((F.col("_low") + F.col("_high")) / 2)
-        after = materialize(stepped.withColumn("_next", F.round(moved, 6)).withColumn("_moved", F.col("_next") != F.col("_tilt")).withColumn("_tilt", F.col("_next")), "tilt")
-        drop(found)
-        found = after.select(*names)
-        if not after.where("_moved").limit(1).count():
-            break
-    return found
+    bins = sizes.groupBy(F.col("source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("size", "_n"))).alias("_sizes"))
+    rows = aims.join(bins, aims["source"].eqNullSafe(bins["_s"])).drop("_s").withColumn("_bins", F.expr("transform(_sizes, x -> struct(double(x.size) * x._n AS m, double(x.size) / _mean AS r))"))
+    tilt = "exp(least(60D, greatest(-60D, s.t * x.r)))"
+    part = f"{tilt} / ({most - 1}D + {tilt})"
+    sums = f"aggregate(_bins, struct(0D AS w, 0D AS g), (a, x) -> struct(a.w + {most}D * x.m * ({part}) AS w, a.g + {most}D * x.m * x.r * ({part}) * (1 - ({part})) AS g))"
+    at = f"element_at(transform(array({sums}), q -> struct(target - q.w AS short, CASE WHEN q.g > 0 THEN s.t + (target - q.w) / q.g END AS newton)), 1)"
+    low, high = "CASE WHEN q.short > 0 THEN s.t ELSE s.lo END", "CASE WHEN q.short < 0 THEN s.t ELSE s.hi END"
+    moved = f"CASE WHEN q.newton > ({low}) AND q.newton < ({high}) THEN q.newton ELSE (({low}) + ({high})) / 2 END"
+    step = f"element_at(transform(array({at}), q -> CASE WHEN abs(q.short) <= {close}D * target THEN struct(s.t AS t, s.lo AS lo, s.hi AS hi, true AS done) ELSE struct({moved} AS t, {low} AS lo, {high} AS hi, false AS done) END), 1)"
+    solved = F.expr(f"aggregate(sequence(1, {rounds}), struct(0D AS t, -{FAR}D AS lo, {FAR}D AS hi, target >= {most}D * source_size AS done), (s, k) -> CASE WHEN s.done THEN s ELSE {step} END)")
+    found = rows.withColumn("_at", solved).select(*aims.columns, F.col("_at.t").alias("_tilt"), F.expr("_at.done OR _at.hi - _at.lo < 1e-9").alias("_done"))
+    found = materialize(found, "tilt")
+    if left := found.where("NOT _done").limit(1).count():
+        raise ArithmeticError(f"no multiplier meets the target of {left} source or more after {rounds} steps")
+    return found.drop("_done")
 
 
 def thresholds(rated: DataFrame, aims: DataFrame) -> DataFrame:
-    """(_source, _up, _pass): up to which point of the rounding order rates are rounded up, by source.
+    """(_source, _up, _more): by source, up to which point of the rounding order rates are rounded up, and the places behind it that are as well.
 
-    rated has source, size, _least (copies that are sure), _order in [0, 1). The point is where the words
-    rounded up come nearest to what is missing; each pass sums them by bin and looks into the bin it lies in.
+    rated has source, size, _least (copies that are sure), _order in [0, 1) and _m (documents alike in these). The point
+    is the last at which the words rounded up do not exceed what is missing; each pass sums them by bin and looks into
+    the bin it lies in. What is missing then is less than one document has, and FILLED documents, each the largest that
+    fits, fill it up.
     """
-    sure = rated.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("size") * F.col("_least")).alias("_sure"))
+    sure = rated.groupBy(F.col("source").alias("_source")).agg(F.sum(F.col("size") * F.col("_least") * F.col("_m")).alias("_sure"))
     at = aims.join(sure, aims["source"].eqNullSafe(sure["_source"])).select("_source", (F.col("target") - F.col("_sure")).alias("_need"), F.lit(0).cast("long").alias("_bin"))
     width = 1
     for k in range(PASSES):
@@ -89,33 +90,44 @@ def thresholds(rated: DataFrame, aims: DataFrame) -> DataFrame:
         inside = rated.where("_order < 1").withColumn("_fine", bin_of).join(at, rated["source"].eqNullSafe(at["_source"]))
         if k:
             inside = inside.where(F.floor(F.col("_fine") / BINS) == F.col("_bin"))
-        bins = inside.groupBy("_source", "_need", "_fine").agg(F.sum("size").alias("_words"))
+        bins = inside.groupBy("_source", "_need", "_fine").agg(F.sum(F.col("size") * F.col("_m")).alias("_words"))
         # At most BINS rows a source here.
         run = bins.withColumn("_sum", F.sum("_words").over(Window.partitionBy("_source").orderBy("_fine")))
-        # The bin in which the need is met; on the last pass the bin whose end comes nearest.
+        fits = F.col("_sum") <= F.col("_need")
         if k == PASSES - 1:
-            ends = run.groupBy("_source", "_need").agg(F.min_by(F.struct("_fine", "_sum"), F.abs(F.col("_sum") - F.col("_need"))).alias("_best"), F.min("_fine").alias("_first"))
-            best = F.when(F.abs(F.col("_best._sum") - F.col("_need")) < F.abs("_need"), F.col("_best._fine") + 1).otherwise(F.col("_first"))
-            at = ends.select("_source", (best / float(width)).alias("_up"))
+            ends = run.groupBy("_source", "_need").agg(F.max(F.when(fits, F.col("_fine"))).alias("_last"), F.max(F.when(fits, F.col("_sum"))).alias("_got"), F.min("_fine").alias("_first"))
+            up = F.coalesce(F.col("_last") + 1, F.col("_first")) / float(width)
+            at = ends.select("_source", up.alias("_up"), (F.col("_need") - F.coalesce("_got", F.lit(0))).alias("_need"), F.array().cast("array<double>").alias("_more"))
         else:
             met = run.withColumn("_ahead", F.col("_sum") - F.col("_words"))
             met = met.groupBy("_source", "_need").agg(F.min(F.when(F.col("_sum") >= F.col("_need"), F.col("_fine"))).alias("_hit"), F.max("_fine").alias("_final"))
             chosen = met.select(F.col("_source").alias("_s"), F.coalesce("_hit", "_final").alias("_pick"))
             at = run.join(chosen, run["_source"].eqNullSafe(chosen["_s"]) & (run["_fine"] == chosen["_pick"])).select("_source", (F.col("_need") - (F.col("_sum") - F.col("_words"))).alias("_need"), F.col("_fine").alias("_bin"))
         at = materialize(at, "rounding")
-    return at
-
-
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, rounds: int = 60, close: float = 1e-7) -> DataFrame:
+    for _ in range(FILLED):
+        words = F.col("size") * F.col("_m")
+        open_ = rated.where("_order < 1").join(at, rated["source"].eqNullSafe(at["_source"])).where((F.col("_order") >= F.col("_up")) & (words > 0) & (words <= F.col("_need")) & ~F.array_contains("_more", F.col("_order")))
+        best = open_.groupBy(F.col("_source").alias("_s")).agg(F.max(F.struct(words.alias("w"), (-F.col("_order")).alias("o"))).alias("_best"))
+        filled = at.join(best, at["_source"].eqNullSafe(best["_s"]), "left")
+        more = F.when(F.col("_best").isNull(), F.col("_more")).otherwise(F.array_append("_more", -F.col("_best.o")))
+        after = materialize(filled.select("_source", "_up", (F.col("_need") - F.coalesce("_best.w", F.lit(0))).alias("_need"), more.alias("_more")), "filling")
+        drop(at)
+        at = after
+    return at.select("_source", "_up", "_more")
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, rounds: int = 80, close: float = 1e-9) -> DataFrame:
     """docs with size (words), source_size, target, rate, copies and taken (words, with repeats).
 
     Sources in order of code points, null last, weigh `weights` in turn. The share of each is of all words; it
     stops at `most` times its source's words, and the excess is shared again. A document is taken 0 to `most`
-    times; which rates are rounded up is decided by a hash of doc_id and text, and the cut of that order is set
-    for each source so that the words taken come as near to the target as whole documents allow.
+    times. Which rates are rounded up is decided by a hash of doc_id and text: up to a cut of that order, which is set for
+    each source, and FILLED documents behind it, so that the words taken are less than a document short of the target and
+    never above it, unless the copies that are sure exceed it already.
 
-    Nulls: a null text has no words; null sources form one source. Repeated rows are taken like each other.
-    Empty table: empty result. Other columns stay; those named like a result or with an
+    Nulls: a null text has no words; null sources form one source. Repeated rows (one doc_id and text) have one place in
+    the order and are taken like each other. Very long texts are documents like others: one that exceeds its source's
+    target may be left out. Empty table: empty result. Other columns stay; those named like a result or with an
     underscore in front are left out.
     """
     results = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -133,9 +145,9 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most:
     rated = rated.withColumn("_least", F.least(F.floor("rate"), F.lit(most)).cast("long"))
     part = F.col("rate") - F.col("_least")
     rated = rated.withColumn("_order", F.when(part > 0, (chance + 1 - part) / 2).otherwise(F.lit(2.0)))
-    slim = materialize(rated.select("source", "size", "_least", "_order"), "rated")
+    slim = materialize(rated.groupBy("source", "size", "_least", "_order").agg(F.count(F.lit(1)).alias("_m")), "rated")
     cuts = thresholds(slim, aims.withColumnRenamed("_src", "source"))
     done = rated.join(cuts, rated["source"].eqNullSafe(cuts["_source"]), "left")
-    up = F.when(F.col("_order") < F.coalesce("_up", F.lit(0.0)), 1).otherwise(0)
+    up = F.when((F.col("_order") < F.col("_up")) | F.array_contains("_more", F.col("_order")), 1).otherwise(0)
     done = done.withColumn("copies", F.least(F.col("_least") + up, F.lit(most)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return done.select(*kept, "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", "taken")
