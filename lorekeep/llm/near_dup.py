@@ -14,6 +14,7 @@ other in blocks, on bitmaps, and only pairs that pass are written.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from lorekeep.llm.shared import apart, components, drop, materialize, maybe_in,
 #: Bands and samples a band: a pair at a similarity of 0.8 is missed with a probability of 5e-8.
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Samples of a sketch, its bits, and the standard deviations by which a sample may mislead.
+#: Samples of a sketch, its bits, and the standard deviations by which a sample or a sketch may mislead.
 KEPT, BITS, SIGMAS = 1024, 1024, 6
 #: Members of a bucket that are compared at once.
 BLOCK = 64
@@ -89,24 +90,33 @@ def buckets(least: np.ndarray) -> np.ndarray:
     return _mix((least.reshape(BANDS, ROWS) * BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def most_bits(n_a, n_b, percent: int, maths):  # noqa: ANN001, ANN201
-    """The most bits in which sketches of linked sets of n_a and n_b shingles differ; for columns or for arrays, by maths.
+def estimated(bits, maths):  # noqa: ANN001, ANN201
+    """How many samples two sketches differ in, by the bits in which they do: -BITS/2 ln(1 - 2 bits / BITS); for columns or arrays, by maths."""
+    return maths.log(maths.greatest(1 - bits * (2 / BITS), maths.lit(1 / BITS))) * (-BITS / 2)
 
-    Of the shared shingles, at least percent / (100 + percent) of both sizes, those below the larger set's
-    last sample are in both samples. Which they are is chance only where the larger set has more than KEPT.
+
+def passes(bits, n_a, n_b, percent: int, maths):  # noqa: ANN001, ANN201
+    """Whether sketches of sets of n_a and n_b shingles that differ in so many bits may be of linked sets.
+
+    Of the shared shingles, at least percent / (100 + percent) of both sizes, those below the larger set's last sample
+    are in both samples. Which they are is chance only where the larger set has more than KEPT.
     """
     large = maths.greatest(n_a, n_b)
     kept = maths.least(large, maths.lit(KEPT))
     share = maths.least((n_a + n_b) * (percent / (100 + percent)) / large, maths.lit(1.0))
+    most = maths.least(n_a, maths.lit(KEPT)) + maths.least(n_b, maths.lit(KEPT)) - kept * share * 2
     sampled = maths.least(maths.greatest(large - KEPT, maths.lit(0)), maths.lit(1))
-    chance = sampled * (2 * SIGMAS) * maths.sqrt(kept * share * (1 - share) + 1)
-    return maths.least(n_a, maths.lit(KEPT)) + maths.least(n_b, maths.lit(KEPT)) - kept * share * 2 + chance + 1e-6
+    drawn = sampled * (kept * share * (1 - share) + 1) * 4  # variance: a shared sample more or less counts twice
+    kept_odd = maths.exp(most * (-2 / BITS))
+    folded = (1 - kept_odd * kept_odd) * (BITS / 4) / (kept_odd * kept_odd)  # variance of the estimate by collisions
+    sure = bits <= most + maths.sqrt(drawn) * SIGMAS + 1e-6
+    return sure & (estimated(bits, maths) <= most + maths.sqrt(drawn + folded) * SIGMAS + 1)
 
 
 class Arrays:
-    """The functions of most_bits, for arrays."""
+    """The functions that passes() needs, for arrays."""
 
-    least, greatest, sqrt = np.minimum, np.maximum, np.sqrt
+    least, greatest, sqrt, log, exp = np.minimum, np.maximum, np.sqrt, np.log, np.exp
 
     @staticmethod
     def lit(x: float) -> float:
@@ -143,7 +153,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     bits = F.expr("aggregate(zip_with(s_a, s_b, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & (bits <= most_bits(F.col("n_a"), F.col("n_b"), percent, F))).select("a", "b").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits & passes(bits, F.col("n_a"), F.col("n_b"), percent, F)).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -175,9 +185,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components that sizes and sketches allow.
 
-    members: (key, doc_id, n_shingles, sketch) of buckets with several nodes; labels: (node, root).
+    members: (key, doc_id, n_shingles, sketch) of buckets with several nodes; labels: (node, root). Comparisons grow
+    with the square of those members of a bucket that are in one size class and in different components.
     """
-    rooted = members.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
+    # Linked sets differ in size by 100 / percent at most: they lie in one size class or in two next to each other.
+    steps = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100) + 1e-9)).cast("int")
+    classed = members.withColumn("class", F.explode(F.array(steps, steps + 1))).withColumn("key", F.xxhash64("key", "class")).drop("class")
+    rooted = classed.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("node")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
     held = rooted.join(apart(mixed), "key").withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
     # A block holds about BLOCK members: their number decides how many blocks a bucket has. Dealt out by block,
@@ -199,7 +213,7 @@ def crossing(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
                 differ = np.bitwise_count(sa[:, None, :] ^ sb[None, :, :]).sum(axis=2, dtype=np.int32)
                 na, nb = na[:, None].astype(np.float64), nb[None, :].astype(np.float64)
                 fits = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-                i, j = np.nonzero((ra[:, None] != rb[None, :]) & fits & (differ <= most_bits(na, nb, percent, Arrays)))
+                i, j = np.nonzero((ra[:, None] != rb[None, :]) & fits & passes(differ.astype(np.float64), na, nb, percent, Arrays))
                 out.append(np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])], axis=1))
             every = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(every[:, k].copy()) for k in (0, 1)], ["a", "b"])
