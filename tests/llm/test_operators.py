@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import decontaminate, entropy_mix, hilbert_shards, line_frequency, line_windows, near_dup, secret_spans, style_tree, token_blocks, warc
+from lorekeep.llm import decontaminate, entropy_mix, hilbert_shards, line_frequency, line_windows, near_dup, secret_spans, shared, style_tree, token_blocks, warc
 
 WORDS = [f"w{i}" for i in range(400)]
 LONG = " ".join(f"x{i % 977}y{i}" for i in range(30_000))
@@ -85,7 +85,31 @@ def test_sketches_never_fail_a_link_of_small_sets():
             both = len(np.intersect1d(a, b))
             if 100 * both >= 80 * (len(a) + len(b) - both):
                 bits = int(np.bitwise_count(near_dup.sketch(a).view(np.uint64) ^ near_dup.sketch(b).view(np.uint64)).sum())
-                assert bits <= near_dup.most_bits(float(len(a)), float(len(b)), 80, near_dup.Arrays)
+                assert near_dup.passes(float(bits), float(len(a)), float(len(b)), 80, near_dup.Arrays)
+
+
+def differing(rng, n, similarity):
+    """Two sets of n numbers with that similarity."""
+    shared = round(n * 2 * similarity / (1 + similarity))
+    pool = rng.integers(0, 1 << 63, 2 * n - shared, dtype=np.uint64)
+    return np.unique(pool[:n]), np.unique(np.concatenate([pool[:shared], pool[n:]]))
+
+
+def test_sketches_estimate_similarities():
+    rng = np.random.default_rng(4)
+    for n in (300, 900, 5000, 20000):
+        for similarity in (0.5, 0.6, 0.75, 0.8, 0.9, 0.97):
+            went, off = 0, []
+            for _ in range(40):
+                a, b = differing(rng, n, similarity)
+                bits = float(np.bitwise_count(near_dup.sketch(a).view(np.uint64) ^ near_dup.sketch(b).view(np.uint64)).sum())
+                true = len(np.setxor1d(a[: near_dup.KEPT], b[: near_dup.KEPT]))
+                off.append(near_dup.estimated(bits, near_dup.Arrays) - true)
+                went += bool(near_dup.passes(bits, float(len(a)), float(len(b)), 80, near_dup.Arrays))
+            if similarity >= 0.75:
+                assert abs(np.mean(off)) < 30  # of up to 600
+            assert went == 40 if similarity > 0.8 else True
+            assert went == 0 if similarity <= 0.6 else True
 
 
 # 2
@@ -133,6 +157,66 @@ def test_style_trees_clean_marked_articles_too(spark, monkeypatch):
     assert {r.page_id: r.text for r in style_tree.extract(frame).collect()} == want
 
 
+HTML = [
+    ('<script src="x.js"/>var leak=1;</script><p>Story</p>', "Story"), ("<script src=/x/>var leak=1;</script><p>Story</p>", "Story"), ("<script>a</SCRIPT ><p>Story</p>", "Story"),
+    ("<article><p>Story</p><section class='search-results'><p>Found 3</p></section><div class='share-price'>12.5</div></article>", "Story\nFound 3\n12.5"),
+    ("<article><p>Story of some length</p><div class='ad'>buy</div><div id='comments-area'>me too</div><div class='site-footer'>f</div></article>", "Story of some length"),
+    ("<div><p>" + "The story is long and stands beside a teaser. " * 5 + "</p></div><article><p>teaser</p></article>", ("The story is long and stands beside a teaser. " * 5).strip()),
+    ("<main><h1>T</h1><article><p>" + "long story " * 9 + "</p></article><div>more</div></main>", ("long story " * 9).strip()),
+    ("<div class='page has-sidebar'><header>H</header><div class='content with-sidebar'><p>All of the story</p></div><div class='sidebar'>s</div></div>", "All of the story"),
+    ("<article><header><h1>Title</h1></header><p>a<span class='ad'>x</span>b <i>c</i>d</p></article>", "Title\na b cd"), ("<article><p>one<br>two<p>three<ul><li>i<li>j</ul>", "one two\nthree\ni\nj"),
+    ("<p>Read <a href=x>this <b>and that</a> now", "Read this and that now"), ("<div hidden>h</div><p aria-hidden=true>h</p><p style='display: none'>h</p><p>Shown</p>", "Shown"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), HTML)
+def test_main_text(source, text):
+    parsed = style_tree.Page(page(source))
+    assert style_tree.main_text(parsed.parent, parsed.node, parsed.facts, parsed.texts, parsed.owner, parsed.block, parsed.prose, {}, 0.5) == text
+
+
+def test_deep_pages_are_read_whole_and_in_linear_time():
+    import time
+
+    deep = style_tree.Page("<div>" * 20_000 + "<nav>menu</nav>x")
+    assert style_tree.main_text(deep.parent, deep.node, deep.facts, deep.texts, deep.owner, deep.block, deep.prose, {}, 0.5) == "x"
+    for text in ("<b>x<div>", "<b>", "</i><b>", "<p><td>", "<a href='", "<!--", "&amp", "<ul><li>x", "<td><p>", "<span class=ad>x"):
+        begun = time.perf_counter()
+        p = style_tree.Page(text * (200_000 // len(text)))
+        style_tree.main_text(p.parent, p.node, p.facts, p.texts, p.owner, p.block, p.prose, {}, 0.5)
+        assert time.perf_counter() - begun < 20, text
+
+
+def test_html_extraction_of_a_table(spark):
+    """Every page against a plain version of the tree, which removes branches, and against its article as a plain pattern reads it."""
+    from html import unescape
+
+    frame = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 1200")
+    rows = {r.page_id: r for r in frame.collect()}
+    found = {r.page_id: r.text for r in style_tree.extract(frame).collect()}
+    by_host: dict[str, dict[str, style_tree.Page]] = {}
+    for r in rows.values():
+        by_host.setdefault(style_tree.host_of(r.url), {})[r.html] = style_tree.Page(r.html or "")
+    gone = 0
+    for r in rows.values():
+        pages = list(by_host[style_tree.host_of(r.url)].values())
+        seen: dict[int, list] = {}
+        for nodes in [p.style_nodes() for p in pages] if len(pages) >= 8 else []:
+            for node, shown in nodes.items():
+                seen.setdefault(node, []).append(shown)
+        entropy = lambda x: float(np.exp(np.log(len(x)) - sum(k * np.log(k) for k in Counter(x).values()) / len(x))) / len(x)
+        low = {node: max(entropy([a for a, _ in x]), entropy([b for _, b in x])) for node, x in seen.items() if len(x) >= 8}
+        p = by_host[style_tree.host_of(r.url)][r.html]
+        assert found[r.page_id] == style_tree.main_text(p.parent, p.node, p.facts, p.texts, p.owner, p.block, p.prose, low, 0.5)
+        held = [0] * len(p.parent)
+        gone += bool(style_tree.removed(p.parent, p.node, p.facts, held, low, 0.5)[1])
+        article = re.sub(r"<br>", " ", re.search("(?s)<article>(.*)</article>", r.html)[1])
+        lines = [" ".join(unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h\d|div|ul|li|blockquote|table|tr|td|section|figure|figcaption|pre)[^>]*>", article)]
+        if not re.search("<(?:aside|form|div|script|style|nav|footer|header|!--|section|figure)", article):
+            assert found[r.page_id] == "\n".join(x for x in lines if x)
+    assert gone > 0
+
+
 # 3
 
 
@@ -167,6 +251,48 @@ def test_lexer_sees_pairs_behind_labels_and_braces(text):
             assert lexed(text.replace("V", secret)) == [secret]
 
 
+SYNTAX = [
+    ("db:\n password:\n - V\n - W8e7R6t5Y4u3\nport: 1\n", ["V", "W8e7R6t5Y4u3"]), ("key: |\n  x\ntoken: |-\n  V\n  a1B2c3D4e5F6\nnext: y", ["V", "a1B2c3D4e5F6"]),
+    ("<password>V</password>", ["V"]), ("<a><api-key type='x'> V </api-key></a>", ["V"]), ('<add key="ApiKey" value="V"/>', ["V"]), ('conn.setPassword("V")', ["V"]),
+    ('env.put("db_password", "V")', ["V"]), ("run --password V --user me", ["V"]), ('password: str = "V"', ["V"]), ('conf["password"] = "V"', ["V"]), ('s = "Server=x;Password=V;User=y"', ["V"]),
+    ('a = "zX9y"\nb = a + "W8vU"\nc = 1\nkey = b\ndb_password = key + "7tS6"', ["zX9y", "W8vU", "7tS6"]), ('p = "V"\ndb_password = "x-${p}"', ["V", "x-"]),
+    ('a="V"; a="hello"; password=a', []), ('password=a\na="V"', ["V"]), ('# a = "V"\npassword = a\n', []), ('# password = "V"', ["V"]), ("password = getPassword('V2')", []),
+    ('/* secret = "V" */ x', ["V"]), ("password = x\nx = y\ny = password\n", []), ("it's a password: don't tell", []), ('a = "V"\na = a + a\na = a + a\npassword = a', ["V"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), SYNTAX)
+def test_lexer_reads_syntax(text, want):
+    assert sorted(lexed(text.replace("V", "Zk9qP2vT7xL4"))) == sorted(w.replace("V", "Zk9qP2vT7xL4") for w in want)
+
+
+def test_lexer_takes_hostile_texts_in_linear_time():
+    import time
+
+    for text in ("password = password + 'x'\n", "a = a + a\npassword = a\n", "<password>", "password:\n - ", "((((", "'", "token: {", "--key ", "/* ", "a.b.", "${", "password: x: "):
+        begun = time.perf_counter()
+        secret_spans.secrets(text * (100_000 // len(text)))
+        assert time.perf_counter() - begun < 10, text
+
+
+def test_secret_scan_of_a_table(spark):
+    """All spans of every document, against a plain version of the base and of simple assignments."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = {r.doc_id: r for r in secret_spans.secret_spans(docs).collect()}
+    assert set(found) == set(texts)
+    for i, t in texts.items():
+        base = [("assign", m) for m in re.finditer(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 12]
+        base += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18] + [("hex", m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        want = ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in sorted(base, key=lambda x: (x[1].start(), secret_spans.KINDS.index(x[0]))))
+        assert found[i].base_spans == want
+        spans = [x.split(":") for x in found[i].spans.split(",") if x]
+        assert len(spans) == sum(found[i][f"n_{k}"] for k in secret_spans.KINDS) and [x for x in spans if x[0] != "lexed"] == [x.split(":") for x in want.split(",") if x]
+        for m in re.finditer(r"(?m)^(?:export )?([A-Za-z_]+) ?= ?\"([A-Za-z0-9]{16,})\"$", t):
+            reached = secret_spans.name_weight(m[1]) + secret_spans.literal_weight(m[2]) >= 1
+            assert reached == (["lexed", str(m.start(2)), str(m.end(2))] in spans)
+
+
 # 4
 
 
@@ -226,9 +352,9 @@ def hits(text, items, width=10):
 ITEMS = [(1, " ".join(WORDS[5:30])), (2, "two"), (3, "Two, ONE"), (4, None), (5, "--"), (6, "a b"), (7, "b c a b c a b c a b c a"), (6, "a b"), (10, "x0y0 x1y1 x2y2"), (11, " ".join(WORDS[:400]))]
 
 
-@pytest.mark.parametrize("inline", [40_000, 0])
-def test_decontamination(docs, spark, empty, inline, monkeypatch):
-    monkeypatch.setattr(decontaminate, "INLINE", inline)
+@pytest.mark.parametrize("longs", [1 << 21, 1])
+def test_decontamination(docs, spark, empty, longs, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_LONGS", longs)  # at 1, the bitmap lets all pass
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontaminate.decontaminate(docs.withColumn("window", F.lit(1)).withColumn("items", F.lit(1)), items).collect()
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), r.contaminated) for r in found)
@@ -241,6 +367,17 @@ def test_decontamination(docs, spark, empty, inline, monkeypatch):
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs, items.limit(0)).collect())
 
 
+def test_decontamination_by_many_items(spark):
+    """Half a million shingles of items go the way that a few go, and passages are found among them."""
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(f"v{x}" for x in rng.integers(0, 50_000, 1000))) for i in range(520)]
+    held = {i: " ".join(items[i][1].split()[40 : 40 + n]) for i, n in ((3, 10), (99, 9), (500, 300))}
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 50_000, 300)) + " " + held.get(i, "")) for i in range(520)]
+    found = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found.where("contaminated").collect()} == {3: (10, ["3"]), 500: (300, ["500"])}
+    assert found.count() == 520
+
+
 # 6
 
 
@@ -340,20 +477,43 @@ def test_lines_that_a_host_repeats_are_counted_over_different_texts(spark):
     rows += [(300, f"{shared}\n3", "other")]
     found = {r.doc_id: r for r in line_frequency.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(r.base_failed for r in found.values())
-    assert {i for i, r in found.items() if not r.kept} == set(range(40))
+    # Those with little of their own, and those with enough of a share but fewer words than the base rules ask for.
+    assert {i for i, r in found.items() if not r.kept} == {*range(40), *range(100, 120)}
+
+
+def test_quality_of_a_table(spark):
+    """Verdicts and removed words against a plain version, over hosts where lines decide."""
+    from tests.llm.test_pipeline import cleaned, common_lines
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("source IN ('src1', 'src17', 'src10')")
+    rows = docs.collect()
+    common = common_lines(rows)
+    found = line_frequency.quality(docs, clean=True)
+    got = {r.doc_id: (r.text, r.kept) for r in found.collect()}
+    want = {r.doc_id: cleaned(r, common) for r in rows}
+    assert {i for i, (_, kept) in got.items() if kept} == {i for i, r in want.items() if r}
+    assert all(got[i][0] == r.text for i, r in want.items() if r)
+    assert found.where("NOT kept AND NOT base_failed").count() > 0 and found.where("kept AND n_removed_words > 0").count() > 0
+
+
+def test_lines_of_any_length_are_counted(spark):
+    notice = " ".join(f"notice{k}" for k in range(120))
+    rows = [(i, f"{notice}\n{' '.join(f'o{i}x{k}' for k in range(n))}", "h") for i, n in enumerate([20] * 15 + [90] * 15)]
+    found = line_frequency.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in found if r.kept} == set(range(15, 30)) and all(r.n_removed_words == 120 for r in found)
 
 
 def test_boilerplate_lines_are_removed_from_kept_documents(spark):
     import corpus_pipeline
 
-    own = lambda i: " ".join(f"own{i}_{k}" for k in range(60))
+    own = lambda i: " ".join(f"own{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}_{k}" for k in range(60))
     rows = [(i, f"Share this page: {i}\n{own(i)}\n\nAll RIGHTS reserved.\n", "h", 7) for i in range(30)]
     rows += [(29, rows[29][1], "h", 7), (None, f"all rights reserved\n{own(30)}", "h", 7), (31, f"all rights reserved\n{own(31)}", "other", 7), (32, own(32), None, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
     want = Counter((i, f"{own(i)}\n\n", "h", len(own(i)) + 2) for i in [*range(30), 29])
     want += Counter([(None, own(30), "h", len(own(30))), rows[32], rows[33]])
     assert Counter(map(tuple, corpus_pipeline.quality(spark, docs, "").collect())) == want
-    assert {r.text for r in line_frequency.quality(docs).collect()} == {r[1] for r in rows}
+    assert {r.text for r in line_frequency.quality(docs).collect()} == {r[1] for r in rows} and "text" not in line_frequency.quality(docs, carry=False).columns
 
 
 # 8
@@ -385,10 +545,32 @@ def test_mixed_sources_come_near_their_targets(spark):
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 300))), f"s{i % 7}" if i % 3 else "hot") for i in range(4000)]
     found = entropy_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     for r in found.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
-        assert abs(r.taken - r.target) <= 300
+        assert r.target - 20 <= r.taken <= r.target
     assert found.where("rate < 0 OR rate > 3").count() == 0
 
 
+def test_mixing_solves_the_dual(spark):
+    """Rates are the plain dual's: one multiplier a source, by words, and expected words that meet the target."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    by_source: dict = {}
+    for r in entropy_mix.mix(docs.withColumn("s", F.col("source"))).collect():
+        by_source.setdefault(r.s, []).append(r)
+    for rows in by_source.values():
+        size, rate = np.array([r["size"] for r in rows], float), np.array([r.rate for r in rows])
+        if rows[0].target >= 3 * rows[0].source_size:
+            assert (rate == 3).all()
+            continue
+        assert abs((size * rate).sum() - rows[0].target) <= 1e-6 * rows[0].target
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            t = (low + high) / 2
+            tilt = np.exp(np.clip(t * size / size.mean(), -60, 60))
+            low, high = (t, high) if (size * 3 * tilt / (2 + tilt)).sum() < rows[0].target else (low, t)
+        assert np.allclose(rate, 3 * tilt / (2 + tilt), atol=1e-4)
+        up = np.array([r.copies for r in rows])
+        assert ((up >= np.floor(rate - 1e-9)) & (up <= np.ceil(rate + 1e-9))).all()
+
+
 # 9
 
 
@@ -403,6 +585,21 @@ def test_line_dedup(docs, empty, spark):
     assert out == {1: ("a\nb\nc\nd", 0), 2: ("x\ny", 5), 3: ("", 3), 4: ("a\nb\nq", 0), 5: ("k", 4)}
 
 
+def test_line_windows_have_two_hashes(spark):
+    """What collides in the first hash (forced here) stays apart by the second, which does not follow from it."""
+    rows = spark.createDataFrame([(t,) for t in ("a", "b", "")], "t string")
+    one, two = line_windows.hashes(F.col("t"))
+    drawn = rows.select(one, two, F.xxhash64(F.lit(1)).alias("seed"), F.xxhash64("t", F.lit(1)).alias("chained")).collect()
+    assert len({r._h2 for r in drawn}) == 3 and not {r._h2 for r in drawn} & {r.chained for r in drawn}
+
+
+def test_line_windows_that_collide_once_stay(spark, monkeypatch):
+    monkeypatch.setattr(line_windows, "hashes", lambda t: (F.lit(0).cast("long").alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2")))
+    rows = [(1, "a\nb\nc\nd"), (2, "e\nf\ng\nh"), (3, "a\nb\nc\nx")]
+    out = {r.doc_id: r.text for r in line_windows.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "a\nb\nc\nd", 2: "e\nf\ng\nh", 3: "x"}
+
+
 # 10
 
 
