@@ -96,10 +96,10 @@ class HashEmbedder:
         return [x / length for x in vector]
 
     def embed_queries(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self._vector(t) for t in texts]
+        return [self._vector(self.prefixes[0] + t) for t in texts]
 
     def embed_passages(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self._vector(t) for t in texts]
+        return [self._vector(self.prefixes[1] + t) for t in texts]
 
 
 class ConstantEmbedder:

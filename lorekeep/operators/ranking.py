@@ -71,10 +71,25 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*DOCUMENT).agg(F.count(F.lit(1)).alias("chunk_count"))
 
 
+def kept(hits: DataFrame) -> DataFrame:
+    """hits as rows of the driver, so that what scored them is run once. Only for as many as a request's limit asks for."""
+    return hits.sparkSession.createDataFrame(hits.collect(), hits.schema)
+
+
+def of_documents(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Those rows that belong to a document of hits (as kept() returns them); the filter on paths reaches the scan, which skips row groups."""
+    wanted = sorted({(r["collection"], r["path"]) for r in hits.select(*DOCUMENT).collect()})
+    if not wanted:
+        return rows.where(F.lit(False))
+    here = rows.where(F.col("path").isin(*sorted({p for _, p in wanted})) & F.col("collection").isin(*sorted({c for c, _ in wanted})))
+    # As many pairs as there are hits.
+    return here.join(F.broadcast(rows.sparkSession.createDataFrame(wanted, "collection string, path string")), list(DOCUMENT), "left_semi")
+
+
 def enriched(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """hits with chunk_count, 0 where the document is gone. Hits are at most a search's limit, so they are sent out."""
-    wanted = F.broadcast(hits.select(*DOCUMENT).distinct())
-    counts = chunk_counts(chunks.select(*DOCUMENT).join(wanted, list(DOCUMENT), "left_semi"))
+    """hits with chunk_count, 0 where the document is gone. Hits are at most a search's limit; chunks of other documents are not read."""
+    hits = kept(hits)
+    counts = chunk_counts(of_documents(chunks.select(*DOCUMENT), hits))
     return hits.join(counts, list(DOCUMENT), "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)).cast("long"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as T
 from lorekeep.functions import vectors as V
-from lorekeep.operators import bm25, maintenance, ranking, reading
+from lorekeep.operators import bm25, maintenance, ranking, reading, vector_index
 from lorekeep.operators.chunking import plain_chunks
 from lorekeep.plans import views
 
@@ -115,6 +115,15 @@ def vector_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.passages(ranking.vector_scored(rows, views.query_vector(spark, sf_dir)), rows, LIMIT, T.head_snippet(F.col("body")))
 
 
+@query(f"WITH {_cosine()} SELECT collection, path, chunk_sequence, score FROM hits ORDER BY score DESC, collection, path, chunk_sequence LIMIT {LIMIT}")
+def vector_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from an inverted file, whose cells are probed until none can hold a better one."""
+    rows = views.vectors(spark, sf_dir)
+    centres = vector_index.fitted(rows, vector_index.cell_count(rows.count()))
+    index = vector_index.assigned(rows, centres)
+    return vector_index.search(index, vector_index.cells_of(index, centres), views.query_vector(spark, sf_dir), LIMIT, exact=True)
+
+
 @query(_doc_level(_cosine("collection IN ('label-1', 'label-2')"), "vec", _HEAD))
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.vectors(spark, sf_dir)
@@ -124,35 +133,35 @@ def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hybrid(size: int) -> str:
     one = "CAST(1 AS DOUBLE)"
     return rf"""{_CHUNKS}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
-first AS (SELECT c.collection, c.path, c.chunk_sequence, c.body, CAST(e.embedding AS DOUBLE[]) AS e FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.chunk_sequence = 0),
-tok AS (SELECT collection, path, chunk_sequence, body, {_TOKENS} AS t FROM first),
+held AS (SELECT c.collection, c.path, c.chunk_sequence, c.body, CAST(e.embedding AS DOUBLE[]) AS e FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id AND c.chunk_sequence = 0),
+tok AS (SELECT collection, path, chunk_sequence, body, {_TOKENS} AS t FROM held),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(t)) AS DOUBLE) / count(*) AS avgdl FROM tok WHERE len(t) > 0),
 terms AS (SELECT unnest({_TERMS}) AS term),
 df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM terms JOIN tok ON list_contains(t, term) GROUP BY term),
 tf AS (SELECT collection, path, chunk_sequence, term, CAST(len(t) AS DOUBLE) AS dl, CAST(len(list_filter(t, lambda x: x = term)) AS DOUBLE) AS tf FROM tok JOIN terms ON list_contains(t, term)),
 lex AS (SELECT collection, path, chunk_sequence, round(sum(ln({one} + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * (tf * CAST(2.2 AS DOUBLE)) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term), stats GROUP BY ALL),
-sem AS (SELECT collection, path, chunk_sequence, round(greatest(list_cosine_similarity(e, v), CAST(0 AS DOUBLE)), 6) AS score FROM first, q WHERE e IS NOT NULL),
+sem AS (SELECT collection, path, chunk_sequence, round(greatest(list_cosine_similarity(e, v), CAST(0 AS DOUBLE)), 6) AS score FROM held, q WHERE e IS NOT NULL),
 a AS (SELECT * FROM (SELECT collection, path, chunk_sequence, row_number() OVER (ORDER BY score DESC, collection, path, chunk_sequence) AS ra FROM lex) WHERE ra <= {size}),
 b AS (SELECT * FROM (SELECT collection, path, chunk_sequence, row_number() OVER (ORDER BY score DESC, collection, path, chunk_sequence) AS rb FROM sem) WHERE rb <= {size}),
 rrf AS (SELECT collection, path, chunk_sequence, round(coalesce({one} / (60 + ra), CAST(0 AS DOUBLE)) + coalesce({one} / (60 + rb), CAST(0 AS DOUBLE)), 6) AS score FROM a FULL JOIN b USING (collection, path, chunk_sequence)),
-hits AS (SELECT r.*, body FROM rrf r JOIN first USING (collection, path, chunk_sequence) ORDER BY score DESC, collection, path, chunk_sequence LIMIT {size})"""
+hits AS (SELECT r.*, body FROM rrf r JOIN held USING (collection, path, chunk_sequence) ORDER BY score DESC, collection, path, chunk_sequence LIMIT {size})"""
 
 
-@query(_doc_level(_hybrid(10 * LIMIT), "first", _HEAD))
+@query(_doc_level(_hybrid(10 * LIMIT), "held", _HEAD))
 def hybrid_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.hybrid(spark, sf_dir)
     scored = ranking.fused(bm25.scored(rows, QUERY), ranking.vector_scored(rows, views.query_vector(spark, sf_dir)), ranking.fetch_size(LIMIT, "doc"))
     return ranking.documents(scored, rows, LIMIT, T.head_snippet(F.col("body")))
 
 
-@query(_chunk_level(_hybrid(LIMIT), "first", _HEAD))
+@query(_chunk_level(_hybrid(LIMIT), "held", _HEAD))
 def hybrid_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.hybrid(spark, sf_dir)
     scored = ranking.fused(bm25.scored(rows, QUERY), ranking.vector_scored(rows, views.query_vector(spark, sf_dir)), LIMIT)
     return ranking.passages(scored, rows, LIMIT, T.head_snippet(F.col("body")))
 
 
-@query("SELECT count(*) AS rows_all, count(e.embedding) AS rows_with_vector FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
+@query(f"WITH {_CHUNKS} SELECT count(*) AS rows_all, count(e.embedding) AS rows_with_vector FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.doc_id AND c.chunk_sequence = 0")
 def null_vector_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.hybrid(spark, sf_dir)
     found = ranking.vector_scored(rows, views.query_vector(spark, sf_dir)).agg(F.count(F.lit(1)).alias("rows_with_vector"))
@@ -166,14 +175,14 @@ def distance_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(V.distance_to_score(distance), 6).alias("score"))
 
 
-@query("WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3 * x * 3))) AS n FROM embeddings) SELECT vec_id, round(e[1] * 3 / greatest(n, 1e-12), 6) AS first, round(e[64] * 3 / greatest(n, 1e-12), 6) AS last, len(e) AS dim FROM x")
+@query("WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 3 * x * 3))) AS n FROM embeddings) SELECT vec_id, CAST(unnest(generate_series(0, len(e) - 1)) AS INTEGER) AS place, round(unnest(e) * 3 / greatest(n, 1e-12), 6) AS value FROM x")
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     unit = rows.select("vec_id", V.l2_normalize(F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 3)).alias("u"))
-    return unit.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"), F.size("u").cast("long").alias("dim"))
+    return unit.select("vec_id", F.posexplode("u").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("WITH x AS (SELECT label, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS last FROM embeddings WHERE vec_id % 10 < 5 GROUP BY label) SELECT * FROM x")
+@query("WITH x AS (SELECT label, unnest(embedding) AS v, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS place FROM embeddings WHERE vec_id % 10 < 5) SELECT label, place, round(avg(CAST(v AS DOUBLE)), 6) AS value FROM x GROUP BY ALL")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each label's vectors as tokens of one text, half of them masked."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -181,7 +190,7 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One label's vectors stand for the tokens of one passage: a few hundred.
     held = rows.groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list(mask).alias("m"))
     pooled = held.where(F.exists("m", lambda x: x == 1)).select("label", V.mean_pool(F.col("v"), F.col("m")).alias("p"))
-    return pooled.select("label", F.round(F.col("p")[0], 6).alias("first"), F.round(F.col("p")[63], 6).alias("last"))
+    return pooled.select("label", F.posexplode("p").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {_CHUNKS} SELECT collection, path, chunk_sequence, body FROM chunks")
@@ -209,9 +218,9 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.corpus_stats(views.chunks(spark, sf_dir))
 
 
-@query(rf"WITH {_CHUNKS}, t AS (SELECT collection, path, chunk_sequence, {_TOKENS} AS t FROM chunks), u AS (SELECT *, unnest(t) AS term FROM t) SELECT term, collection, path, chunk_sequence, CAST(len(t) AS BIGINT) AS length, count(*) AS tf FROM u WHERE term IN {tuple(T.query_tokens(QUERY))} GROUP BY ALL")
+@query(rf"WITH {_CHUNKS}, t AS (SELECT collection, path, chunk_sequence, {_TOKENS} AS t FROM chunks), u AS (SELECT *, unnest(t) AS term FROM t) SELECT term, collection, path, chunk_sequence, CAST(len(t) AS BIGINT) AS length, count(*) AS tf FROM u GROUP BY ALL")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.postings(views.chunks(spark, sf_dir)).where(F.col("term").isin(*T.query_tokens(QUERY)))
+    return bm25.postings(views.chunks(spark, sf_dir))
 
 
 @query(f"WITH {_CHUNKS} SELECT collection, path, chunk_sequence, {_FTS} AS snippet FROM chunks")
@@ -278,7 +287,7 @@ def collection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.collection_list(configured, views.sources(spark, sf_dir))
 
 
-@query("SELECT (SELECT count(DISTINCT source) FROM documents) AS collections, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) AS embedded, (SELECT count(*) FROM documents) AS sources")
+@query(f"WITH {_CHUNKS} SELECT (SELECT count(DISTINCT source) FROM documents) AS collections, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id) AS embedded, (SELECT count(*) FROM documents) AS sources")
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.status(views.hybrid(spark, sf_dir), views.sources(spark, sf_dir))
 

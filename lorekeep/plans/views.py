@@ -25,11 +25,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First chunks of documents with the embedding of their number, if any."""
+    """All chunks of documents; the first of each has the embedding of its number, if any, the others have none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("collection"), F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".pdf")).alias("path"), F.col("text").alias("content"))
-    first = plain_chunks(docs).where("chunk_sequence = 0")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return first.join(rows, "doc_id", "left").select("collection", "path", "chunk_sequence", "body", "embedding")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("of"), F.lit(0).cast("long").alias("at"), "embedding")
+    cut = plain_chunks(docs)
+    return cut.join(rows, (cut["doc_id"] == rows["of"]) & (cut["chunk_sequence"] == rows["at"]), "left").select("collection", "path", "chunk_sequence", "body", "embedding")
 
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
