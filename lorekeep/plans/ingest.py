@@ -174,6 +174,7 @@ def update_all(spark: SparkSession, store: Store, config: Config, embedder: Embe
     total = UpdateSummary()
     for name, entry in sorted(config.collections.items()):
         total.add(update_collection(spark, store, name, os.path.expanduser(entry.path), embedder, progress))
+    store.vacuum()
     return total
 
 

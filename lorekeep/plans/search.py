@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from lorekeep.embed import Embedder
 from lorekeep.errors import EmptyQuery, IndexOutdated, InvalidLimit, UnknownCollection
 from lorekeep.functions.text import fts_snippet, head_snippet
-from lorekeep.operators import bm25, ranking
+from lorekeep.operators import bm25, ranking, vector_index
 from lorekeep.plans.config import Config
 from lorekeep.plans.store import Store
 
@@ -82,12 +83,22 @@ class SearchEngine:
         chunks, length = self.store.sums(self.manifest)
         stats = bm25.index_statistics(index, bm25.query_tokens(request.query), chunks, length)
         scored = bm25.scored_from_index(index, request.query, stats, collections=request.collections)
-        best = ranking.top(scored, ranking.fetch_size(request.limit, request.level))
-        # At most ten times the limit of a request.
-        return self._chunks(request).select(*bm25.KEY, "body").join(F.broadcast(best), list(bm25.KEY))
+        best = ranking.kept(ranking.top(scored, ranking.fetch_size(request.limit, request.level)))
+        return self._with_bodies(request, best)
+
+    def _with_bodies(self, request: SearchRequest, best: DataFrame) -> DataFrame:
+        """Bodies of what may be shown, at most ten times the limit of a request; row groups of other paths are not read."""
+        return ranking.of_documents(self._chunks(request), best).select(*bm25.KEY, "body").join(F.broadcast(best), list(bm25.KEY))
 
     def _vector(self, request: SearchRequest, vector: Sequence[float]) -> DataFrame:
-        return ranking.vector_scored(self._chunks(request), vector, collections=request.collections)
+        """Scores from the cells nearest to the query where a collection has an index, from all its chunks elsewhere."""
+        names = sorted(c for c in self.manifest.tables["chunks"] if not request.collections or c in request.collections)
+        cells = {c: found for c in names if (found := self.store.cells(self.manifest, c))}
+        plain = [c for c in names if c not in cells]
+        size = ranking.fetch_size(request.limit, request.level)
+        parts = [ranking.top(ranking.vector_scored(self._chunks(replace(request, collections=tuple(plain))), vector), size).drop("body")] if plain or not names else []
+        parts += [vector_index.search(self.store.table("vectors", self.manifest, [c]), found, vector, size) for c, found in cells.items()]
+        return self._with_bodies(request, ranking.kept(ranking.top(reduce(DataFrame.unionByName, parts), size)))
 
     def fts_df(self, request: SearchRequest) -> DataFrame:
         return self._hits(request, self._text(request), True)

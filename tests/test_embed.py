@@ -73,3 +73,10 @@ def test_vector_columns(spark):
         V.mean_pool(F.array(V.literal([1, 2])), F.array(F.lit(0))).alias("none"), V.l2_normalize(V.literal([0, 0])).alias("zero"),
     ).first()
     assert (row.nan, row.far, round(row.same, 9), row["mean"], row.none, row.zero) == (0.0, 0.0, 1.0, [2.0, 3.0], [0.0, 0.0], [0.0, 0.0])
+
+
+def test_presets_put_their_prefixes_before_texts():
+    embedder = HashEmbedder("google/embeddinggemma-300m")
+    plain = HashEmbedder("none", dim=768)
+    assert embedder.embed_queries(["tide"]) == plain.embed_queries(["task: search result | query: tide"])
+    assert embedder.embed_passages(["tide"]) == plain.embed_passages(["title: none | text: tide"])

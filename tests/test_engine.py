@@ -4,11 +4,12 @@ import os
 import tarfile
 import zipfile
 
+import numpy as np
 import pytest
 
 from lorekeep import api, cli, render
 from lorekeep.embed import ConstantEmbedder, HashEmbedder, classify, declared_dim
-from lorekeep.errors import ChunkNotFound, ConfigError, EmptyQuery, IndexOutdated, InvalidChunkRange, InvalidLimit, NotFound, PayloadTooLarge, SchemaMismatch, UnknownCollection, UnsupportedModel
+from lorekeep.errors import ChunkNotFound, ConfigError, EmptyQuery, IndexOutdated, InvalidChunkRange, InvalidLimit, LorekeepError, NotFound, PayloadTooLarge, SchemaMismatch, UnknownCollection, UnsupportedModel
 from lorekeep.plans import config as configs
 from lorekeep.plans import ingest
 from lorekeep.plans.config import Collection, Config
@@ -125,7 +126,7 @@ def test_status_and_pins(spark, engine):
     with pytest.warns(UserWarning):
         SearchEngine(spark, store, config, dim=128)
     manifest = store.manifest()
-    manifest.ranges = False
+    manifest.ranges, manifest.version = False, manifest.version + 1
     store.commit(manifest)
     with pytest.raises(IndexOutdated):
         SearchEngine(spark, store, config).fts(SearchRequest("x"))
@@ -253,3 +254,57 @@ def test_streamed_documents(spark, tmp_path):
     rows(("c", "b.md", 1, "beta")).write.mode("append").parquet(landing)
     follow(spark, store, landing, checkpoint, embedder).awaitTermination()
     assert store.manifest().version == version and SCHEMA
+
+
+def test_of_two_updates_of_one_version_the_second_fails(spark, engine):
+    store, *_ = engine
+    one, two = store.manifest(), store.manifest()
+    one.version, two.version = one.version + 1, two.version + 1
+    store.commit(one)
+    with pytest.raises(LorekeepError, match="another update"):
+        store.commit(two)
+    assert store.manifest().version == one.version
+
+
+def test_vacuum_keeps_what_kept_versions_name(spark, engine, notes):
+    store, *_ = engine
+    for k in range(3):
+        (notes / "other.md").write_text(f"# Other\n\nEdition {k}.\n")
+        update(spark, engine)
+    assert len(store.versions()) == 2
+    last, before = store.manifest(), store.manifest(store.versions()[0])
+    named = {p for m in (last, before) for t in m.tables.values() for p in t.values()}
+    held = {os.path.relpath(d, store.root.removeprefix("file://")) for d, _, files in os.walk(store.root.removeprefix("file://")) if any(f.endswith(".parquet") for f in files)}
+    assert held == named and store.table("chunks", before).count() == store.table("chunks", last).count() == 4
+
+
+def test_vectors_of_a_large_collection_are_searched_by_cells(spark, tmp_path, monkeypatch):
+    from lorekeep.operators import ranking, vector_index
+    from lorekeep.plans import store as stores
+
+    monkeypatch.setattr(stores, "INDEXED_FROM", 500)
+    rng = np.random.default_rng(1)
+    middle = rng.normal(size=(40, 32))
+    vectors = middle[rng.integers(0, 40, 4000)] + 0.6 * rng.normal(size=(4000, 32))
+    vectors[7] = 0
+    rows = [("c", f"p{i // 4:04}", i % 4, f"body {i}", v.tolist() if i % 50 else None, 0, 0) for i, v in enumerate(vectors)]
+    chunks = spark.createDataFrame(rows, "collection string, path string, chunk_sequence long, body string, embedding array<float>, source_start long, source_end long")
+    chunks = chunks.selectExpr("*", "timestamp_seconds(1) AS modified_at", "'h' AS source_hash")
+    store = Store(spark, f"file://{tmp_path}/index")
+    after = store.write(store.create("m", 32), "c", chunks, None)
+    after.version += 1
+    store.commit(after)
+    cells, index = store.cells(after, "c"), store.table("vectors", after)
+    assert len(cells.centres) == vector_index.cell_count(3920) and index.count() == 3920
+    held = store.table("chunks", after)
+    engine, hit, asked = SearchEngine(spark, store, Config(model="m", collections={"c": Collection("/")}), "m", 32), 0, 25
+    for k in range(asked):
+        wanted = (vectors[100 + 13 * k] + 0.3 * rng.normal(size=32)).tolist()
+        key = lambda r: (r["path"], r["chunk_sequence"], r["score"])
+        best = {key(r) for r in ranking.top(ranking.vector_scored(held, wanted), 10).collect()}
+        if k < 4:
+            assert {key(r) for r in vector_index.search(index, cells, wanted, 10, exact=True).collect()} == best
+        hit += len(best & {key(r) for r in vector_index.search(index, cells, wanted, 10).collect()})
+    assert hit >= 0.9 * 10 * asked
+    shown = [r["path"] for r in engine.vector_df(SearchRequest("q", limit=5, level="chunk"), wanted).collect()]
+    assert set(shown) <= {p for p, *_ in best} and len(shown) == 5
