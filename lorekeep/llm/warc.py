@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.shared import apart, drop, materialize, scratch_path, ship
 
-#: Bytes of a record's block in one segment, of a transfer chunk, and of archive files on average.
-SEGMENT, CHUNK, FILE = 1 << 18, 1 << 14, 1 << 26
+#: Bytes of a record's block in one segment, of a transfer chunk, of a row of records, and the most rows of a file: a file is below 84 MB.
+SEGMENT, CHUNK, ROW, ROWS = 1 << 18, 1 << 14, 1 << 20, 64
+#: What stands behind each record.
+END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -54,13 +57,13 @@ def unframed(body: bytes) -> bytes:
         at = end + 4 + size
 
 
-def record_id(number: int, segment: int) -> str:
-    """A name of its own for each record: row number and segment in a random-looking urn."""
-    raw = hashlib.md5(f"{number}/{segment}".encode()).hexdigest()
+def record_id(run: str, number: int, segment: int) -> str:
+    """A name of its own for each record of any archive: from a random name of the run that writes it, row number and segment."""
+    raw = hashlib.md5(f"{run}/{number}/{segment}".encode()).hexdigest()
     return f"<urn:uuid:{raw[:8]}-{raw[8:12]}-{raw[12:16]}-{raw[16:20]}-{raw[20:]}>"
 
 
-def record_segments(number: int, page_id: int | None, url: str | None, payload: bytes, refers: tuple[int, int] | None, *, segment: int = SEGMENT) -> Iterator[bytes]:
+def record_segments(number: int, page_id: int | None, url: str | None, payload: bytes, refers: tuple[int, int] | None, *, run: str = "", segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of a page, without the two line ends that close each."""
     digest = base32(hashlib.sha1(payload).digest())
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
@@ -69,12 +72,12 @@ def record_segments(number: int, page_id: int | None, url: str | None, payload:
     count = max(1, -(-len(block) // segment))
     for k in range(count):
         part = block[k * segment : (k + 1) * segment]
-        head = [("WARC-Type", "revisit" if refers else "response")] if k == 0 else [("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", record_id(number, 1))]
-        head += [("WARC-Record-ID", record_id(number, k + 1)), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(part))]
+        head = [("WARC-Type", "revisit" if refers else "response")] if k == 0 else [("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", record_id(run, number, 1))]
+        head += [("WARC-Record-ID", record_id(run, number, k + 1)), ("WARC-Date", DATE), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(part))]
         if k == 0:
             head += [("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", "" if page_id is None else page_id)]
             if refers:
-                head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers[0], 1)), ("X-Refers-To-Page-ID", "" if refers[1] is None else refers[1])]
+                head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(run, refers[0], 1)), ("X-Refers-To-Page-ID", "" if refers[1] is None else refers[1])]
         if count > 1:
             head.append(("WARC-Segment-Number", k + 1))
             if k == count - 1:
@@ -123,23 +126,28 @@ def write_archives(pages: DataFrame, path: str, *, least_bytes: int = 0) -> None
     keyed = materialize(rows.withColumn("digest", F.sha1("payload")), "numbered")
     large = keyed.select("page_id", "number", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= least_bytes)
     last = large.groupBy("digest").agg(F.max(F.struct("page_id", "number")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "kept")
-    sized = large.agg(F.avg("size")).first()[0] or 0
+    run = uuid.uuid4().hex
     marked = keyed.join(apart(last), "digest", "left").withColumn("refers", F.when(F.col("kept.number") != F.col("number"), F.col("kept")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, size = [], 0
         for batch in batches:
             for number, page, url, payload, refers in zip(*(batch.column(c) for c in ("number", "page_id", "url", "payload", "refers")), strict=True):
                 to = refers.as_py()
-                found = record_segments(number.as_py(), page.as_py(), url.as_py(), payload.as_py(), (to["number"], to["page_id"]) if to else None)
-                for record in found:
-                    yield (record,)
+                for record in record_segments(number.as_py(), page.as_py(), url.as_py(), payload.as_py(), (to["number"], to["page_id"]) if to else None, run=run):
+                    held.append(record)
+                    size += len(record)
+                    if size >= ROW:
+                        yield (END.join(held),)
+                        held, size = [], 0
+        if held:
+            yield (END.join(held),)
 
     def write_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batches(write(batches), {"value": pa.binary()})
 
     out = marked.select("number", "page_id", "url", "payload", "refers").mapInArrow(write_batches, "value binary").select(F.col("value").cast("string"))
-    per_file = max(1, int(FILE / max(min(sized, SEGMENT), 512)))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", ROWS).text(path)
     drop(keyed)
 
 
@@ -180,38 +188,37 @@ def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType], most: int = 1
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-def whole_records(spark: SparkSession, path: str) -> DataFrame:
-    """(…, payload) of the records in one piece."""
+PARSED = f"{SCHEMA}, segment int, total long, size long, data binary"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for content in batch.column("content"):
-                    for f, block in records(content.as_buffer().to_pybytes()):
-                        if "warc-segment-number" not in f:
-                            fields = _fields(f)
-                            yield *fields, payload_of(fields[1], fields[4], block)
-
-        yield from _batches(rows(), FIELDS | {"payload": pa.binary()})
 
-    return _files(spark, path).mapInArrow(read, f"{SCHEMA}, payload binary")
+def parsed(spark: SparkSession, path: str, *, keep: bool = True) -> DataFrame:
+    """Every record under path, from one reading: (…, segment, total, size, data).
 
-
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """(…, segment, total, block) of the records that are segments of a larger one."""
+    Of a segment of a larger record data is its block; of a record in one piece it is the payload, checked, whose size is
+    told without `keep` as well.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for content in batch.column("content"):
                     for f, block in records(content.as_buffer().to_pybytes()):
+                        fields = _fields(f)
                         if "warc-segment-number" in f:
                             total = f.get("warc-segment-total-length")
-                            yield *_fields(f), int(f["warc-segment-number"]), int(total) if total else None, block
+                            yield *fields, int(f["warc-segment-number"]), int(total) if total else None, None, block
+                        else:
+                            payload = payload_of(fields[1], fields[4], block)
+                            yield *fields, None, None, None if payload is None else len(payload), payload if keep else None
+
+        yield from _batches(rows(), FIELDS | {"segment": pa.int32(), "total": pa.int64(), "size": pa.int64(), "data": pa.binary()})
 
-        yield from _batches(rows(), FIELDS | {"segment": pa.int32(), "total": pa.int64(), "block": pa.binary()})
+    return _files(spark, path).mapInArrow(read, PARSED)
 
-    return _files(spark, path).mapInArrow(read, f"{SCHEMA}, segment int, total long, block binary")
+
+def segments(found: DataFrame) -> DataFrame:
+    """(…, segment, total, block) of those parsed records that are segments of a larger one."""
+    return found.where("segment IS NOT NULL").select(*FIELDS, "segment", "total", F.col("data").alias("block"))
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
@@ -240,12 +247,10 @@ def reassembled(parts: DataFrame) -> DataFrame:
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, type, page_id, url, digest, refers_to, refers_page, payload) of every record under path.
-
-    Records in one piece are not shuffled; the archives are read a second time for segments.
-    """
+    """(origin, type, page_id, url, digest, refers_to, refers_page, payload) of every record under path. Records in one piece are not shuffled."""
     ship(spark)
-    return whole_records(spark, path).unionByName(reassembled(segments(spark, path)))
+    found = materialize(parsed(spark, path), "parsed")
+    return found.where("segment IS NULL").select(*FIELDS, F.col("data").alias("payload")).unionByName(reassembled(segments(found)))
 
 
 def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
@@ -258,8 +263,11 @@ def round_trip(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, least_bytes=least_bytes)
-    found = payloads(spark, path).select("origin", "type", "page_id", "digest", "refers_to", "refers_page", F.octet_length("payload").cast("long").alias("size"))
-    found = materialize(found, "records")
+    # Payloads in one piece are checked where they are read; only segments are stored for reassembly.
+    read = materialize(parsed(spark, path, keep=False), "parsed")
+    columns = ["origin", "type", "page_id", "digest", "refers_to", "refers_page"]
+    joined = reassembled(segments(read)).select(*columns, F.octet_length("payload").cast("long").alias("size"))
+    found = read.where("segment IS NULL").select(*columns, "size").unionByName(materialize(joined, "reassembled"))
     sizes = found.where("type = 'response'").select(F.col("origin").alias("of"), F.col("size").alias("of_size"))
     out = found.join(sizes, F.col("refers_to") == F.col("of"), "left")
     return out.select("page_id", F.coalesce("size", "of_size").alias("payload_bytes"), F.substring_index("digest", ":", -1).alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
