@@ -13,6 +13,7 @@ Spark's text writer stores the frames, so files are committed whole, on any file
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -38,6 +39,8 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
 LETTER, DIGIT = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the byte-level vocabulary cuts a text before it merges bytes (a fixed rule of the public format).
 PIECES = re.compile(rf" ?[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)| ?[{DIGIT}]+| ?[^\s{LETTER}{DIGIT}]+|\s+(?!\S)|\s+")
+#: Bytes of text a file holds, about: there are as many ranges as that asks for.
+FILE = 1 << 28
 #: Pieces remembered, and the longest that is.
 REMEMBERED, LONGEST = 600_000, 48
 
@@ -49,6 +52,10 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has its own tasks
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Pieces are known to be those of a byte-level cut without a normalizer; of any other file all texts are encoded whole.
+        told = json.loads(self.tokenizer.to_str())
+        cut = told.get("pre_tokenizer") or {}
+        self.cuts = told.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
         # Whatever stands outside the plain rules (added tokens) is left to the tokenizer.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -56,7 +63,7 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.cuts or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         pieces = PIECES.findall(text)
         parts = list(map(self.known.get, pieces))
@@ -167,7 +174,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2)
     """Encode doc_id, text and write the ids, in ascending doc_id (null first; ties by the text's hash), one file a range."""
     ship(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(partitions_for(docs.sparkSession), *order).sortWithinPartitions(*order)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(partitions_for(docs.sparkSession), -(-size // FILE))
+    ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
