@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shared import global_rank, others
+from lorekeep.llm.shared import global_rank, others, partitions_for
 
 
 def _rotl(x: int, k: int, n: int) -> int:
@@ -97,3 +97,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, *, by: tuple[str, ...] = ("
         .withColumn("slot", F.col("_rank") - start).withColumn("grown_shard", F.lit(None).cast("int"))
         .select(*kept, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
     )
+
+
+def write_shards(sharded: DataFrame, path: str, *, files: int | None = None) -> None:
+    """Write what hilbert_shards() returns as folders of shards, each of files that are runs of the curve: as many files as `files`, or partitions, and a shard's end more."""
+    count = files or partitions_for(sharded.sparkSession)
+    sharded.repartitionByRange(count, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
