@@ -324,6 +324,22 @@ def test_segments_are_checked():
     assert warc.unframed(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc"
 
 
+def test_archives_share_no_record_ids_and_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROWS", 2)
+    monkeypatch.setattr(warc, "ROW", 50_000)
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 3000) for i in range(60)] + [(99, "u", "big" * 400_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    ids = []
+    for k in range(2):
+        warc.write_archives(frame, f"file://{tmp_path}/{k}")
+        ids.append({r.origin for r in warc.payloads(spark, f"file://{tmp_path}/{k}").collect()})
+        for f in (tmp_path / str(k)).glob("part-*"):
+            assert sum(len(b) for _, b in warc.records(f.read_bytes())) <= 2 * (50_000 + warc.SEGMENT)
+    assert len(ids[0]) == len(ids[1]) == 61 and not ids[0] & ids[1]
+    read = {r.page_id: bytes(r.payload) for r in warc.payloads(spark, f"file://{tmp_path}/1").collect()}
+    assert read == {i: h.encode() for i, _, h in rows}
+
+
 def test_missing_segments_fail(spark):
     rows = [("o", "response", 1, "u", None, None, None, 1, None, b"ab"), ("o", "continuation", None, None, None, None, None, 3, 6, b"ef")]
     parts = spark.createDataFrame(rows, f"{warc.SCHEMA}, segment int, total long, block binary")
@@ -439,6 +455,20 @@ def test_a_document_listed_before_its_ids_is_an_error():
         list(token_blocks.parse(frames + last))
 
 
+def test_other_tokenizers_are_left_to_themselves():
+    P = pytest.importorskip("public_tokenizers")
+    import glob
+    import os
+
+    for path in glob.glob(os.path.join(os.path.dirname(P.path("byte_bpe_50k.json")), "*.json")):
+        try:
+            encode = token_blocks.PieceEncoder(path)
+        except Exception:  # another kind of file
+            continue
+        for text in ("The tide's out, isn't it?  42 boats", " Über den  Wellen\n\n", "x"):
+            assert encode(text) == encode.whole(text), path
+
+
 def test_pieces_are_those_of_the_tokenizer():
     P = pytest.importorskip("public_tokenizers")
     encode = token_blocks.PieceEncoder(P.path("byte_bpe_50k.json"))
@@ -622,3 +652,27 @@ def test_sharding(docs, empty):
     assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
     assert hilbert_shards.hilbert_shards(empty).count() == 0 and found[0]["kept"] == "x"
+
+
+def test_shards_prune_on_every_dimension(spark, tmp_path):
+    """Files of shards hold narrow ranges of all dimensions: a filter on any of them meets few."""
+    import pyarrow.parquet as pq
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").drop("n_chars")
+    sharded = hilbert_shards.hilbert_shards(docs)
+    order = sharded.orderBy("shard", "slot").collect()
+    cells = {c: {v: k for k, v in enumerate(sorted({r[c] for r in order}))} for c in ("source", "lang")}
+    place = [(cells["source"][r.source] * 64 // len(cells["source"]), cells["lang"][r.lang] * 64 // len(cells["lang"]), min(63, int(np.log2(r["size"]) * 2))) for r in order]
+    step = lambda p: np.mean([sum(abs(a - b) for a, b in zip(x, y, strict=True)) for x, y in zip(p, p[1:], strict=False)])
+    mixed = [place[k] for k in np.random.default_rng(0).permutation(len(place))]
+    assert step(place) < step(mixed) / 5  # neighbours in the order are neighbours in all dimensions
+    hilbert_shards.write_shards(sharded, f"file://{tmp_path}/out", files=32)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "out").glob("shard=*/part-*")]
+    assert sum(f.metadata.num_rows for f in files) == len(order) and 32 <= len(files) <= 40
+    for column, wanted in (("source", "src7"), ("lang", "de")):
+        met = 0
+        for f in files:
+            at = f.schema_arrow.names.index(column)
+            seen = [f.metadata.row_group(g).column(at).statistics for g in range(f.metadata.num_row_groups)]
+            met += any(s.min <= wanted <= s.max for s in seen)
+        assert met <= len(files) * 0.6, column
